@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mainhtml, matroska, mixing, neardup, pii, tokenfiles, toxicity, warc
 
 
 def queries():
-    return {"op6_mixing": mixing.op6_mixing}
+    return {
+        "op1_tokens": tokenfiles.op1_tokens,
+        "op2_bpe": bpe.op2_bpe,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op5_neardup": neardup.op5_neardup,
+        "op6_mixing": mixing.op6_mixing,
+        "op7_warc": warc.op7_warc,
+        "op8_mainhtml": mainhtml.op8_mainhtml,
+        "op9_pii": pii.op9_pii,
+        "op10_media": matroska.op10_media,
+    }
 
 
 def oracle_sql():
-    return {"op6_mixing": mixing.ORACLE}
+    return {"op5_neardup": neardup.ORACLE, "op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE}

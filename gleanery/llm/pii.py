@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import json
 import random
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,20 +33,21 @@ BLOCK = 64
 # Rules. A start is the match's leftmost: the begin of a run, or where the last match ended (\G).
 RULES = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# What a text must contain for a rule or generator to run at all.
-HINTS = {"email": "@", "phone": "+"}
+# What a text must contain for a rule or generator to match at all, cheaper to look for: one of the characters, and whether a digit is needed.
+HINTS = {"email": ("@", False), "ip": (".", True), "card": ("", True), "phone": ("+", True), "g_email": ("([{", False), "g_phone": ("", True), "g_card": ("", True),
+         "g_ip6": (":", False), "g_secret": ("", True), "g_iban": ("", True), "g_ssn": ("-", True)}
 GENERATORS = {
     "g_email": ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?|\.)[A-Za-z0-9-]{1,63}+){1,5}+"),
-    "g_phone": ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{4}(?![0-9])"),
-    "g_card": ("card", r"(?<![0-9])(?:[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}|[0-9]{12,19})(?![0-9])"),
+    "g_phone": ("phone", r"(?=[0-9+(])(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{4}(?![0-9])"),
+    "g_card": ("card", r"(?=[0-9])(?<![0-9])(?:[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}|[0-9]{12,19})(?![0-9])"),
     "g_ip6": ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "g_secret": ("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,40}[0-9])[A-Za-z0-9_/+-]{20,}+"),
-    "g_iban": ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "g_ssn": ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "g_iban": ("iban", r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "g_ssn": ("ssn", r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
 # Words before a proposal that speak for its kind.
 CUES = {
@@ -83,50 +86,70 @@ def valid(kind: str, v: Column) -> Column:
     return n.between(12, 19) & luhn(digits_of(v)) if kind == "card" else n.between(9, 15)
 
 
-def matches(text: Column, name: str, pattern: str) -> Column:
-    """struct(found, gaps): the matches in order and the stretches around them, one more than matches."""
-    sought = F.contains(text, F.lit(HINTS[name])) if name in HINTS else F.rlike(text, F.lit(pattern))
-    return F.when(sought, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: inside functions over arrays an expression is otherwise computed anew wherever it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def add(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
 
-def with_starts(df: DataFrame, name: str) -> DataFrame:
-    """<name>_at: the start of each match in code points. The three columns are separate projections, each used more than once, so that none is computed
-    anew for every element."""
-    step = F.zip_with(F.expr(f"slice(`{name}`.gaps, 1, size(`{name}`.found))"), F.col(f"{name}.found"), lambda g, m: F.length(g) + F.length(m))
-    df = df.withColumn(f"{name}_step", F.when(F.size(f"{name}.found") > 0, step))
-    n, xs = F.size(f"{name}_step"), F.col(f"{name}_step")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: add(F.slice(xs, k * BLOCK + 1, BLOCK)))
-    df = df.withColumn(f"{name}_block", F.when(n > 0, blocks))
-    b = F.col(f"{name}_block")
-    sums = F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda k: F.when(k == 0, 0).otherwise(add(F.slice(b, 1, k))))
-    df = df.withColumn(f"{name}_sum", F.when(F.size(b) > 0, sums))
-    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(F.col(f"{name}_sum"), F.floor(i / BLOCK).cast("int") + 1)
-                     + F.when(i % BLOCK == 0, 0).otherwise(add(F.slice(xs, i - i % BLOCK + 1, i % BLOCK))) + F.length(F.element_at(F.col(f"{name}.gaps"), i + 1)))
-    return df.withColumn(f"{name}_at", F.when(n > 0, at)).drop(f"{name}_step", f"{name}_block", f"{name}_sum")
-
-
-def located(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """df(text, ...) -> one array column a name: struct(at, upto, value, before, after)."""
-    df = df.withColumns({n: matches(F.col("text"), n, p) for n, p in names.items()})
-    for n in names:
-        df = with_starts(df, n)
-    one = lambda n: F.transform(F.sequence(F.lit(1), F.size(f"{n}_at")), lambda i: F.struct(
-        F.element_at(F.col(f"{n}_at"), i).alias("at"), (F.element_at(F.col(f"{n}_at"), i) + F.length(F.element_at(F.col(f"{n}.found"), i))).alias("upto"),
-        F.element_at(F.col(f"{n}.found"), i).alias("value"), F.lower(F.substring(F.element_at(F.col(f"{n}.gaps"), i), -32, 32)).alias("before"),
-        F.substring(F.element_at(F.col(f"{n}.gaps"), i + 1), 1, 8).alias("after")))
-    empty = "array<struct<at:int,upto:int,value:string,before:string,after:string>>"
-    return df.withColumns({n: F.when(F.size(f"{n}_at") > 0, one(n)).otherwise(F.array().cast(empty)) for n in names}).drop(*[f"{n}_at" for n in names])
-
-
-def features(c: Column, generator: str) -> Column:
+def hits(text: Column, patterns: dict[str, str]) -> Column:
+    """array of struct(name, found, gaps), for the patterns that match at all: the matches in order and the stretches around them, one more than matches."""
+
+    def one(name: str, pattern: str, digit: Column) -> Column:
+        marks, needs_digit = HINTS[name]
+        sought = F.rlike(text, F.lit(pattern))
+        if marks:
+            sought = reduce(or_, (F.contains(text, F.lit(m)) for m in marks)) & sought
+        if needs_digit:
+            sought = digit & sought
+        return F.when(sought, F.struct(F.lit(name).alias("name"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))
+
+    return let(F.rlike(text, F.lit("[0-9]")), lambda digit: F.array_compact(F.array(*[one(n, p, digit) for n, p in patterns.items()])))
+
+
+def starts(h: Column, body) -> Column:
+    """body(starts) with the start of each match of a hit in code points: lengths of gaps and matches, summed in blocks of BLOCK and then over the blocks."""
+    steps = F.zip_with(F.slice(h["gaps"], 1, F.size(h["found"])), h["found"], lambda g, m: F.length(g) + F.length(m))
+
+    def with_steps(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: add(F.slice(xs, k * BLOCK + 1, BLOCK)))
+
+        def with_blocks(b: Column) -> Column:
+            sums = F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda k: F.when(k == 0, 0).otherwise(add(F.slice(b, 1, k))))
+            return let(sums, lambda c: F.transform(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: F.element_at(c, F.floor(i / BLOCK).cast("int") + 1)
+                       + F.when(i % BLOCK == 0, 0).otherwise(add(F.slice(xs, i - i % BLOCK + 1, i % BLOCK))) + F.length(F.element_at(h["gaps"], i + 1))))
+
+        return let(blocks, with_blocks)
+
+    return let(let(steps, with_steps), body)
+
+
+def located(text: Column, patterns: dict[str, str]) -> Column:
+    """array of struct(name, at, upto, value, before, after): every match of every pattern with its context."""
+
+    def of(h: Column) -> Column:
+        def one(at: Column):
+            return lambda i: F.struct(h["name"].alias("name"), F.element_at(at, i).alias("at"), (F.element_at(at, i) + F.length(F.element_at(h["found"], i))).alias("upto"),
+                                      F.element_at(h["found"], i).alias("value"), F.lower(F.substring(F.element_at(h["gaps"], i), -32, 32)).alias("before"),
+                                      F.substring(F.element_at(h["gaps"], i + 1), 1, 8).alias("after"))
+
+        return starts(h, lambda at: F.transform(F.sequence(F.lit(1), F.size(at)), one(at)))
+
+    return F.flatten(F.transform(hits(text, patterns), of))
+
+
+def features(c: Column) -> Column:
     """The features of a proposal, in the order of FEATURES, as an array of doubles."""
-    v, before, d = c["value"], c["before"], digits_of(c["value"])
+    return let(digits_of(c["value"]), lambda d: _features(c, d))
+
+
+def _features(c: Column, d: Column) -> Column:
+    v, before = c["value"], c["before"]
     has = lambda p, x: F.rlike(x, F.lit(p)).cast("double")
-    by_name = {g: F.lit(float(g == generator)) for g in GENERATORS} | {
+    by_name = {g: (c["name"] == g).cast("double") for g in GENERATORS} | {
         "length": F.length(v), "digits": F.length(d), "letters": F.length(F.regexp_replace(v, "[^A-Za-z]", "")), "separators": F.length(F.regexp_replace(v, "[A-Za-z0-9]", "")),
         "distinct": F.size(F.array_distinct(F.split(v, ""))), "luhn": (F.length(d).between(12, 19) & luhn(d)).cast("double"), "plus": F.startswith(v, F.lit("+")).cast("double"),
         "paren": has(r"\([0-9]", v), "hex": has("^[0-9a-f]+$", v), "grouped": has(r"^\+?[0-9 ()]*[0-9]{3}[ .-][0-9]{3,4}[ .-]?[0-9]{4}$|^(?:[0-9]{4}[ -]){3}[0-9]{4}$", v),
@@ -135,19 +158,24 @@ def features(c: Column, generator: str) -> Column:
     return F.array(*[F.coalesce(by_name[f].cast("double"), F.lit(0.0)) for f in FEATURES])
 
 
-def fixture(seed: int = 11, size: int = 240) -> list[tuple[str, int]]:
-    """Texts with one proposal each and whether it is personal: every generator with forms and contexts of both answers."""
+def fixture(seed: int = 11, size: int = 240) -> list[tuple[str, str, int]]:
+    """(text, value, answer): texts around one value and whether it is personal, every generator with forms and contexts of both answers. A maker gives the
+    words before the value and the value."""
     r = random.Random(seed)
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     word = lambda: "".join(r.choice(["er", "an", "th", "in", "on", "re", "st", "le", "qua", "che", "mi", "to"]) for _ in range(r.randint(1, 4)))
 
-    def card(ok: bool) -> str:
+    def summed(n: int, ok: bool) -> str:
         while True:
-            d = r.choice("3456") + num(15)
+            d = r.choice("3456") + num(n - 1)
             total = sum(int(x) if i % 2 == 0 else int(x) * 2 - 9 * (int(x) > 4) for i, x in enumerate(reversed(d)))
             if (total % 10 == 0) == ok:
-                return r.choice([d, d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))])
+                return d
+
+    def card(ok: bool) -> str:
+        d = summed(16, ok)
+        return r.choice([d, d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))])
 
     plus = lambda: f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}"
     loose = lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}"])
@@ -155,22 +183,27 @@ def fixture(seed: int = 11, size: int = 240) -> list[tuple[str, int]]:
     iban = lambda: r.choice(["DE", "FR", "GB", "ES"]) + num(2) + r.choice(["", " "]).join([""] + [num(4) for _ in range(4)])
     mixed = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n - 2)) + num(2)
     ask = lambda *w: r.choice(w) + r.choice([": ", " = ", " ", " is "])
+    bare = lambda f, *a: lambda: ("", f(*a))
+    after = lambda words, f, *a: lambda: (ask(*words), f(*a))
     yes = [
-        lambda: mail(), lambda: ask("email", "contact", "write to") + mail(), lambda: plus(), lambda: ask("phone", "call", "tel") + loose(), lambda: ask("mobile", "fax") + plus(),
-        lambda: r.choice(["", word() + " "]) + f"({num(3)}) {num(3)}-{num(4)}", lambda: card(True), lambda: ask("card", "visa") + card(True), lambda: ask("ipv6", "host", "address") + ":".join(hexa(4) for _ in range(8)),
-        lambda: r.choice(["token", "api_key", "secret", "password"]) + r.choice([' = "', ": ", "="]) + r.choice([hexa(40), hexa(32), mixed(32), mixed(24)]) + '"', lambda: ask("iban", "account", "konto") + iban(), lambda: iban(),
-        lambda: ask("ssn", "social security") + f"{num(3)}-{num(2)}-{num(4)}",
+        bare(mail), after(["email", "contact", "write to"], mail), bare(plus), bare(plus), after(["phone", "call", "tel"], loose), after(["mobile", "fax"], plus),
+        lambda: (r.choice(["", word() + " "]), f"({num(3)}) {num(3)}-{num(4)}"), bare(card, True), bare(card, True), after(["card", "visa"], card, True),
+        after(["ipv6", "host", "address"], lambda: ":".join(hexa(4) for _ in range(8))),
+        lambda: (r.choice(["token", "api_key", "secret", "password"]) + r.choice([' = "', ": ", "="]), r.choice([hexa(40), hexa(40).upper(), hexa(32), hexa(8) + num(r.choice([9, 10, 11, 12, 14])) + hexa(20), mixed(32), mixed(24)])), after(["iban", "account", "konto"], iban), bare(iban),
+        after(["ssn", "social security"], lambda: f"{num(3)}-{num(2)}-{num(4)}"), lambda: (summed(16, False) + " ", card(True)), lambda: (word() + " ", plus()),
     ]
     no = [
-        lambda: card(False), lambda: ask("card", "visa", "order", "tracking") + card(False), lambda: ask("order", "invoice", "serial", "ref") + num(r.choice([9, 10, 11])), lambda: num(r.choice([9, 10, 11])), lambda: num(r.choice([12, 13, 14, 15, 17, 18])),
-        lambda: ask("isbn", "part", "sku") + f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(4)} {num(4)}", lambda: f"{num(3)} {num(4)} {num(4)}", lambda: ask("commit", "sha", "hash", "build") + hexa(40), lambda: word() + " " + hexa(40),
-        lambda: word() + "/" + word() + "-" + word() + "-" + num(4) + "/" + word() + word() + word(), lambda: word() + word() + word() + word() + "_" + word() + num(1) + word() + word(), lambda: ask("version", "serial", "part") + f"{num(3)}-{num(2)}-{num(4)}",
-        lambda: ask("build", "ref") + "AB" + num(2) + " " + " ".join(mixed(4).upper() for _ in range(3)), lambda: ":".join(num(2) for _ in range(4)), lambda: f"{num(4)}-{num(4)}-{num(4)}",
+        bare(card, False), bare(card, False), after(["card", "visa", "order", "tracking"], card, False), after(["order", "invoice", "serial", "ref"], lambda: num(r.choice([9, 10, 11]))), bare(lambda: num(r.choice([9, 10, 11]))),
+        bare(lambda: summed(r.choice([12, 13, 14, 15, 17, 18]), False)), after(["isbn", "part", "sku"], lambda: f"{num(3)}-{num(3)}-{num(4)}"), bare(lambda: f"{num(4)} {num(4)}"), bare(lambda: f"{num(3)} {num(4)} {num(4)}"),
+        after(["commit", "sha", "hash", "build"], hexa, 40), lambda: (word() + " ", hexa(40)), bare(lambda: word() + "/" + word() + "-" + word() + "-" + num(4) + "/" + word() + word() + word()),
+        bare(lambda: word() + word() + word() + word() + "_" + word() + num(1) + word() + word()), after(["version", "serial", "part"], lambda: f"{num(3)}-{num(2)}-{num(4)}"), lambda: (word() + " ", hexa(6) + num(12) + hexa(6)),
+        after(["build", "ref"], lambda: "AB" + num(2) + " " + " ".join(mixed(4).upper() for _ in range(3))), bare(lambda: ":".join(num(2) for _ in range(4))), bare(lambda: f"{num(4)}-{num(4)}-{num(4)}"),
     ]
     out = []
     for answer, makers in ((1, yes), (0, no)):
-        for i in range(size * len(makers) // len(yes) * len(yes) // 4):
-            out.append((f"{word()} {word()} {makers[i % len(makers)]()}{r.choice(['', ' ', '. ', ' ', '!! '])}{r.choice(['', ' ' + word()])}", answer))
+        for i in range(size * 4):
+            lead, value = makers[i % len(makers)]()
+            out.append((f"{word()} {word()} {lead}{value}{r.choice(['', ' ', '. ', ' ', '!! ', chr(34)])}{r.choice(['', ' ' + word()])}", value, answer))
     return out
 
 
@@ -179,18 +212,13 @@ _MODEL: dict = {}
 
 def model(spark: SparkSession) -> tuple[float, list, dict[str, float]]:
     """(bias, trees, threshold on the margin for each kind). A third of the fixture is kept back; a kind's threshold is the lowest margin from which at least
-    99 % of the kept-back proposals are personal, and at least even odds."""
+    99 % of the kept-back proposals are personal, and at least even odds. Only the planted value itself is personal, not a proposal within it."""
     if "it" not in _MODEL:
-        rows = [{"text": t, "y": y} for t, y in fixture()]
-        df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<text:string,y:int>>")).alias("r")).select("r.text", "r.y")
-        df = located(df, {n: p for n, (_, p) in GENERATORS.items()})
-
-        def proposed(g: str) -> Column:
-            return F.transform(F.col(g), lambda c: F.struct(F.lit(g).alias("g"), features(c, g).alias("x")))
-
-        props = F.flatten(F.array(*[proposed(g) for g in GENERATORS]))
-        got = df.select("y", F.explode(props).alias("p")).select("y", "p.g", "p.x").collect()
-        got = sorted((tuple(r["x"]), r["g"], r["y"]) for r in got)
+        rows = [{"text": t, "want": v, "y": y} for t, v, y in fixture()]
+        df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<text:string,want:string,y:int>>")).alias("r")).select("r.*")
+        df = df.select("want", "y", F.explode(located(F.col("text"), {n: p for n, (_, p) in GENERATORS.items()})).alias("p"))
+        got = df.select(((F.col("y") == 1) & (F.col("p.value") == F.col("want"))).cast("int").alias("y"), "p.name", features(F.col("p")).alias("x")).collect()
+        got = sorted((tuple(r["x"]), r["name"], r["y"]) for r in got)
         x, y = np.array([r[0] for r in got]), np.array([float(r[2]) for r in got])
         kept = np.arange(len(y)) % 3 == 0
         bias, trees = boost(x[~kept], y[~kept])
@@ -204,37 +232,45 @@ def model(spark: SparkSession) -> tuple[float, list, dict[str, float]]:
     return _MODEL["it"]
 
 
+SPAN = "array<struct<at:int,rank:int,upto:int,kind:string>>"
+
+
+def span(c: Column, kind: Column) -> Column:
+    return F.struct(c["at"].alias("at"), (F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1).cast("int").alias("rank"), c["upto"].alias("upto"), kind.alias("kind"))
+
+
 def find(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFrame:
     """docs with a further column `into`: struct(base, spans), both arrays of struct(at, rank, upto, kind) in order of start and listed kind."""
     bias, trees, limits = model(docs.sparkSession)
-    rest = docs.columns
-    own = {n: f"_{n}" for n in [*RULES, *GENERATORS]}
-    mine = [F.col("text").alias("_own_text")] if "text" in rest else []
-    df = docs.select(*[F.col(c) for c in rest if c != "text"], *mine, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = located(df, {own[n]: p for n, p in RULES.items()} | {own[n]: p for n, (_, p) in GENERATORS.items()})
-    span = lambda c, kind: F.struct(c["at"].alias("at"), F.lit(KINDS.index(kind)).alias("rank"), c["upto"].alias("upto"), F.lit(kind).alias("kind"))
-
-    def ruled(k: str) -> Column:
-        return F.transform(F.filter(F.col(own[k]), lambda c: valid(k, c["value"])), lambda c: span(c, k))
-
-    base = F.array_sort(F.flatten(F.array(*[ruled(k) for k in RULES])))
-
-    def scored(g: str) -> Column:
-        kind = GENERATORS[g][0]
-        z = lambda c: F.struct(span(c, kind).alias("span"), features(c, g).alias("x"))
-        with_z = F.transform(F.transform(F.col(own[g]), z), lambda s: F.struct((expression(bias, trees, lambda j: F.element_at(s["x"], j + 1)) - limits[kind]).alias("z"), s["span"].alias("span")))
-        return F.filter(with_z, lambda s: s["z"] >= 0)
-
-    df = df.withColumn("_base", base).withColumn("_likely", F.flatten(F.array(*[scored(g) for g in GENERATORS])))
-    meet = lambda a, b: (a["at"] < b["upto"]) & (b["at"] < a["upto"])
-    free = F.filter(F.col("_likely"), lambda s: ~F.exists(F.col("_base"), lambda b: meet(s["span"], b)))
-    df = df.withColumn("_free", F.when(F.size("_likely") > 0, free).otherwise(F.col("_likely")))
-    better = lambda a, b: (a["z"] > b["z"]) | ((a["z"] == b["z"]) & (F.struct(a["span"]["at"], a["span"]["rank"]) < F.struct(b["span"]["at"], b["span"]["rank"])))
-    won = F.transform(F.filter(F.col("_free"), lambda s: ~F.exists(F.col("_free"), lambda o: meet(s["span"], o["span"]) & better(o, s))), lambda s: s["span"])
-    df = df.withColumn(into, F.struct(F.col("_base").alias("base"), F.array_sort(F.concat(F.col("_base"), won)).alias("spans")))
-    if "text" in rest:
-        df = df.withColumn("text", F.col("_own_text"))
-    return df.select(*rest, into)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kind_of = lambda c: F.element_at(F.create_map(*[F.lit(x) for g, (k, _) in GENERATORS.items() for x in (g, k)]), c["name"])
+    limit_of = lambda kind: F.element_at(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)]), kind)
+
+    def holds(c: Column) -> Column:
+        out = F.lit(True)
+        for k in RULES:
+            out = F.when(c["name"] == k, valid(k, c["value"])).otherwise(out)
+        return out
+
+    def scored(c: Column) -> Column:
+        z = let(features(c), lambda x: expression(bias, trees, lambda j: F.element_at(x, j + 1)))
+        return F.struct((z - limit_of(kind_of(c))).alias("z"), span(c, kind_of(c)).alias("span"))
+
+    def chosen(base: Column, props: Column) -> Column:
+        """The proposals that stay: likely, clear of base spans, and not met by a better one."""
+        meet = lambda a, b: (a["at"] < b["upto"]) & (b["at"] < a["upto"])
+        better = lambda a, b: (a["z"] > b["z"]) | ((a["z"] == b["z"]) & (F.struct(a["span"]["at"], a["span"]["rank"]) < F.struct(b["span"]["at"], b["span"]["rank"])))
+        clear = F.filter(F.filter(F.transform(props, scored), lambda s: s["z"] >= 0), lambda s: ~F.exists(base, lambda b: meet(s["span"], b)))
+        return let(clear, lambda free: F.transform(F.filter(free, lambda s: ~F.exists(free, lambda o: meet(s["span"], o["span"]) & better(o, s))), lambda s: s["span"]))
+
+    def result(found: Column) -> Column:
+        base = F.array_sort(F.transform(F.filter(found, lambda c: c["name"].isin(*RULES) & holds(c)), lambda c: span(c, c["name"])))
+        props = F.filter(found, lambda c: ~c["name"].isin(*RULES))
+        return let(base, lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, F.when(F.size(props) > 0, chosen(b, props)).otherwise(F.array().cast(SPAN)))).alias("spans")))
+
+    found = located(text, RULES | {g: p for g, (_, p) in GENERATORS.items()})
+    none = F.struct(F.array().cast(SPAN).alias("base"), F.array().cast(SPAN).alias("spans"))
+    return docs.withColumn(into, let(found, lambda f: F.when(F.size(f) > 0, result(f)).otherwise(none)))
 
 
 def written(spans: Column) -> Column:

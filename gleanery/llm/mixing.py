@@ -70,10 +70,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: in
          .withColumn("_s", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % SALTS)))
     d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_b", "_s").orderBy("size", "_h", F.col("doc_id").asc_nulls_last())))
 
-    cells = (docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-             .withColumn("_k", key).withColumn("_h", h).withColumn("_b", size_class(F.col("size")))
-             .withColumn("_s", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % SALTS))
-             .groupBy("_k", "_b", "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"), F.max("source").alias("source")))
+    cells = (d.groupBy("_k", "_b", "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"), F.max("source").alias("source")))
     classes = cells.groupBy("_k", "_b").agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"), F.max("source").alias("source"))
     sizes = classes.groupBy("_k").agg(F.sum("_words").alias("source_size"), F.max("source").alias("source"))
     goal = targets(sizes.select("source", "source_size"), weights, max_repeats).withColumn("_k", key).drop("source")

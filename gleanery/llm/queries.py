@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mainhtml, matroska, mixing, neardup, pii, tokenfiles, toxicity, warc
+from . import ann, bpe, mainhtml, matroska, mixing, neardup, pii, tokenfiles, toxicity, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_tokens": tokenfiles.op1_tokens,
         "op2_bpe": bpe.op2_bpe,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_ann": ann.op4_ann,
         "op5_neardup": neardup.op5_neardup,
         "op6_mixing": mixing.op6_mixing,
         "op7_warc": warc.op7_warc,

@@ -25,6 +25,11 @@ BOILERPLATE = [
 ]
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end (trim() takes spaces only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     """Tokens between white space, as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
@@ -178,8 +183,8 @@ def clean_latex(text: Column) -> Column:
         (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
     ]
     for pattern, new in steps:
-        text = F.regexp_replace(text, pattern, new.replace("$", "\\$") if new == "$" else new)
-    return F.trim(text)
+        text = F.regexp_replace(text, pattern, new)
+    return strip(text)
 
 
 def video_platform(url: Column) -> Column:

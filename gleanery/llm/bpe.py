@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -33,7 +34,6 @@ LATIN = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧]")
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+")
-SPACES = re.compile("[\t-\r\x20\x85\xa0]+")
 
 
 def byte_characters() -> dict[int, str]:
@@ -78,6 +78,10 @@ class TreeBpe:
             n *= 2
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words(dict):
     """Pre-token -> ids as little-endian bytes; at the bound the older half is forgotten."""
 
@@ -91,7 +95,7 @@ class Words(dict):
             self.clear()
         got = self.old.get(piece)
         if got is None:
-            got = np.array(self.ids(piece), "<u4").tobytes()
+            got = packed(self.ids(piece))
         self[piece] = got
         return got
 
@@ -126,7 +130,7 @@ class Bpe:
         return self.tree.ids(mapped) if len(mapped) > LONG else [t.id for t in self.tokenize(mapped)]
 
     def plain(self, text: str) -> bytes:
-        text = SPACES.sub(" ", unicodedata.normalize("NFC", text)).lower()
+        text = unicodedata.normalize("NFC", text).lower()  # white space needs no joining: no piece holds any
         return b"".join(map(self.words.__getitem__, PIECES.findall(text)))
 
     def encode(self, text: str | None) -> bytes:

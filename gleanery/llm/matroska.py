@@ -325,7 +325,8 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 m = parse(value.as_py() or b"")
                 rows = [(ident.as_py(), i, *p, bool(m.damaged)) for i, p in enumerate(m.packets)]
                 if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+                    kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 6, pa.bool_(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = f"doc_id {kind}, packet bigint, track bigint, timestamp_ns bigint, byte_start bigint, n_bytes bigint, cluster bigint, key_frame boolean, damaged boolean"
     return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, schema)

@@ -93,7 +93,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, features: int =
         if not h:
             (c1 if label else c0)[r] += 1
     tell = np.sqrt(n1 * n0 / (n1 + n0)) * np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum((c1 + c0) / (n1 + n0) * (1 - (c1 + c0) / (n1 + n0)), 1e-9))
-    tell[c1 + c0 < least] = 0
+    tell[(c1 + c0 < least) | (tell < 3)] = 0  # three standard errors apart
     best = np.sort(np.argsort(-tell, kind="stable")[:features])
     best = best[tell[best] > 0]
     place = np.full(BUCKETS, -1, np.int32)
@@ -135,20 +135,24 @@ def fit(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, features: int =
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by which margins become probabilities, by Newton's method with the usual smoothed targets."""
+    """Slope and shift by which margins become probabilities: smoothed targets, a weak pull to slope 1 and shift 0, Newton steps halved until the loss falls."""
     n1, n0 = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
+    loss = lambda a, b: float(np.sum(np.logaddexp(0, a * z + b) - t * (a * z + b)) + (a - 1) ** 2 + 0.05 * b * b)
+    a, b, now = 1.0, 0.0, loss(1.0, 0.0)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         q = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        h = np.array([[(q * z * z).sum() + 1e-3, (q * z).sum()], [(q * z).sum(), q.sum()]]) + 1e-9 * np.eye(2)
+        g = np.array([((p - t) * z).sum() + 2 * (a - 1), (p - t).sum() + 0.1 * b])
+        h = np.array([[(q * z * z).sum() + 2, (q * z).sum()], [(q * z).sum(), q.sum() + 0.1]])
         step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+        while np.abs(step).max() > 1e-9 and loss(a - step[0], b - step[1]) > now:
+            step = step / 2
+        a, b = float(a - step[0]), float(b - step[1])
+        now, was = loss(a, b), now
+        if was - now < 1e-9:
             break
-    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+    return (a, b) if a > 0.05 else (1.0, 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", **how) -> Machine:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, mixing, neardup, pii
 from gleanery.llm import toxicity as tox
-from gleanery.llm.common import Scratch, read_table
+from gleanery.llm.common import Scratch, free_name, read_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores 0.3 or more go; texts that are null or empty stay."""
     model = tox.train(docs, read_table(spark, sf_dir, "labels"))
-    return tox.score(docs, model, names=("_score", "_toxic")).where("_toxic = 0").select(*docs.columns)
+    names = free_name(docs, "_score"), free_name(docs, "_toxic")
+    return tox.score(docs, model, names=names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +22,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     (the row with the smallest hash stays). Rows without an id can't be told apart by one and stay."""
     marks = neardup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
     h = F.xxhash64(*[c for c in docs.columns])
-    left = docs.join(marks, "doc_id", "left_anti").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), h)).orderBy(h)))
-    return left.where("doc_id is null or _row = 1").select(*docs.columns)
+    row = free_name(docs, "_row")
+    left = docs.join(marks, "doc_id", "left_anti").withColumn(row, F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), h)).orderBy(h)))
+    return left.where(F.col("doc_id").isNull() | (F.col(row) == 1)).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as systematic sampling takes it."""
     mixed = mixing.mix(docs, carry=docs.columns).where("copies > 0")
-    return mixed.select("_carried.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*docs.columns)
+    return mixed.select(F.explode(F.array_repeat("_carried", F.col("copies").cast("int"))).alias("d")).select("d.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

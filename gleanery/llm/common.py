@@ -49,6 +49,14 @@ class Scratch:
 
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it if the table has such a column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id as text, modulo n (null ids: 0)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n), F.lit(0))

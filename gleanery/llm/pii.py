@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import boost, expression, margin
-from .common import read_table
+from .common import free_name, read_table
 
 KINDS = ["email", "ip", "card", "phone", "secret", "iban", "ssn"]
 BLOCK = 64
@@ -279,17 +279,20 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans are replaced once, by the first of them."""
-    df = find(docs, text_col, "_pii")
+    found, held = free_name(docs, "_pii"), free_name(docs, "_cuts")
+    df = find(docs, text_col, found)
+    spans = F.col(found)["spans"]
     # Maximal stretches: a span opens one unless an earlier span reaches beyond its start.
-    reach = F.aggregate(F.col("_pii.spans"), F.array().cast("array<struct<at:int,upto:int,kind:string>>"), lambda acc, s: F.when(
+    reach = F.aggregate(spans, F.array().cast("array<struct<at:int,upto:int,kind:string>>"), lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["upto"] > s["at"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["at"].alias("at"), F.greatest(F.try_element_at(acc, F.lit(-1))["upto"], s["upto"]).alias("upto"), F.try_element_at(acc, F.lit(-1))["kind"].alias("kind")))),
     ).otherwise(F.concat(acc, F.array(F.struct(s["at"].alias("at"), s["upto"].alias("upto"), s["kind"].alias("kind"))))))
-    df = df.withColumn("_cuts", F.when(F.size("_pii.spans") > 0, reach))
-    cuts, text = F.col("_cuts"), F.col(text_col)
+    df = df.withColumn(held, F.when(F.size(spans) > 0, reach))
+    cuts, text = F.col(held), F.col(text_col)
     upto = lambda i: F.when(i == 1, 0).otherwise(F.try_element_at(cuts, i - 1)["upto"])
     pieces = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda i: F.concat(F.substring(text, upto(i) + 1, F.element_at(cuts, i)["at"] - upto(i)), F.lit("<"), F.upper(F.element_at(cuts, i)["kind"]), F.lit(">")))
-    tail = F.expr(f"substring(`{text_col}`, element_at(_cuts, -1).upto + 1)")
+    last = F.element_at(cuts, -1)["upto"]
+    tail = F.substring(text, last + 1, F.length(text))
     new = F.when(F.size(cuts) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
     return df.withColumn(text_col, new).select(*docs.columns)
 

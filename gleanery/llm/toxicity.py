@@ -54,15 +54,15 @@ def terms(text: str | None) -> set[str]:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, toxic, fold) -> toxic, fold, buckets."""
+    """docs(doc_id, text, toxic, fold) -> doc_id, toxic, fold, buckets."""
 
     def run(batches):
         table = Buckets()
         for batch in batches:
             out = [sorted({table[t] for t in terms(x.as_py())}) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("fold"), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "fold", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("fold"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "toxic", "fold", "buckets"])
 
-    return docs.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold")).mapInArrow(run, "toxic int, fold int, buckets array<int>")
+    return docs.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold")).mapInArrow(run, "doc_id bigint, toxic int, fold int, buckets array<int>")
 
 
 class Machine:
@@ -162,11 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = hashed(d.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)))).toArrow()
-    buckets = rows.column("buckets").to_pylist()
-    y = np.array(rows.column("toxic").to_pylist(), np.int64)
-    order = sorted(range(len(y)), key=lambda i: (buckets[i], y[i]))  # the order in which tasks end must not matter
-    held = np.array(rows.column("fold").to_pylist(), np.int64) == 0
-    return fit([np.array(buckets[i], np.int64) for i in order], y[order], held[order], **how)
+    ids, y, fold = (rows.column(c).to_numpy() for c in ("doc_id", "toxic", "fold"))
+    buckets = [x for chunk in rows.column("buckets").chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])] if len(y) else []
+    order = np.lexsort(([int(x.sum()) for x in buckets], [len(x) for x in buckets], ids))  # the order in which tasks end must not matter
+    return fit([buckets[i] for i in order], y[order].astype(np.int64), fold[order] == 0, **how)
 
 
 def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -24,6 +24,11 @@ BOILERPLATE = [
     "editor's note", "transcriber", "errata",
 ]
 
+# Patterns of speech fillers, immediate repetitions, and caption noise.
+FILLERS = r"(?i)\b(?:uh+h*|um+|hmm+|hm+|mhm+|uh-?huh|uh-?uh|uhuh+|uhhuh+|um-hm|you know|i mean|sort of|kind of|like i said|right\??|okay\??|you see)\b"
+REPEATED = r"(?i)\b(\w[\w']*)\s+\1\b"
+NOISE = r"\[.*?\]|\(.*?\)|<[^>]+>|&\w+;|>>\s*"
+
 
 def strip(text: Column) -> Column:
     """Without white space at either end (trim() takes spaces only)."""
@@ -161,14 +166,14 @@ def clock(seconds: Column) -> Column:
 
 def clean_caption(text: Column) -> Column:
     """Without bracketed noise, tags, entities and turn marks; spaces joined."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*\]|\([^)]*\)|<[^>]+>|&\w+;|>>\s*", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, NOISE, " "), r"\s+", " "))
 
 
 def clean_speech(text: Column) -> Column:
     """Without filler words and immediate repetitions (two passes for triples)."""
-    t = F.regexp_replace(text, r"(?i)\b(?:uh+h*|um+|hmm+|hm+|mhm+|uh-?huh|uh-?uh|um-hm|you know|i mean|sort of|kind of|like i said|right\??|okay\??|you see)\b", "")
+    t = F.regexp_replace(text, FILLERS, "")
     for _ in range(2):
-        t = F.regexp_replace(t, r"(?i)\b(\w[\w']*)\s+\1\b", "$1")
+        t = F.regexp_replace(t, REPEATED, "$1")
     t = F.regexp_replace(F.regexp_replace(t, r"\s+([,.!?;:])", "$1"), r"([,;:])(?:\s*[,;:])+", "$1")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

@@ -19,9 +19,25 @@ def halves(text: Column) -> Column:
     return F.array(F.array_join(F.slice(w, 1, n), " "), F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(0))), " "))
 
 
+# Line openings that mark a change of topic.
+TOPIC = (r"(?i)(?:^|\n)(?:however|in contrast|on the other hand|conversely|next we|we then|we also|we further|to evaluate|for evaluation|we evaluate|we compare|specifically|in particular|more precisely|"
+         r"as shown in|as illustrated|table [0-9]|figure [0-9]|fig\. [0-9]|our key|the main|the primary|importantly|notably)")
+
+
+def divided(text: Column, margin: int = 50) -> Column:
+    """An oversize paragraph in two: at the topic opening nearest the middle, unless that is within the margin of either end; else in halves."""
+    gaps, found = F.transform(F.split(text, TOPIC, -1), lambda g: F.length(g)), F.transform(F.regexp_extract_all(text, F.lit(TOPIC), F.lit(0)), lambda m: F.length(m))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    starts = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: total(F.slice(gaps, 1, i)) + total(F.slice(found, 1, i - 1)))
+    mid = F.floor(F.length(text) / 2).cast("int")
+    at = F.when(F.size(found) > 0, F.array_min(F.transform(starts, lambda s: F.struct(F.abs(s - mid).alias("far"), s.alias("at")))))["at"]
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(at.between(F.lit(margin), F.length(text) - margin), F.array(strip(F.substring(text, F.lit(1), at)), strip(F.substring(text, at + 1, F.length(text))))).otherwise(halves(text))
+
+
 def pack(content: Column, most: int = 800) -> Column:
     """The chunk texts of a section: whole if short; else paragraphs packed in order, a paragraph over the limit flushing what is packed and going out in two
-    halves by words. A half is not cut again."""
+    parts, which are not cut again."""
     paras = F.filter(F.transform(F.split(content, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("n"))
     joined = lambda s: F.array(F.array_join(s["parts"], "\n\n"))
@@ -29,7 +45,7 @@ def pack(content: Column, most: int = 800) -> Column:
 
     def step(s: Column, p: Column) -> Column:
         n = T.word_count(p)
-        large = F.struct(F.concat(flushed(s), halves(p)).alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("n"))
+        large = F.struct(F.concat(flushed(s), divided(p)).alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("n"))
         full = (s["n"] + n > most) & (F.size(s["parts"]) > 0)
         anew = F.struct(flushed(s).alias("done"), F.array(p).alias("parts"), n.alias("n"))
         more = F.struct(s["done"].alias("done"), F.concat(s["parts"], F.array(p)).alias("parts"), (s["n"] + n).alias("n"))

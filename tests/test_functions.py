@@ -49,6 +49,8 @@ def test_pack(spark):
     got = one(spark, chunks.pack(F.lit(text)))
     assert [len(c.split()) for c in got] == [700, 200, 850, 850, 50]
     assert one(spark, chunks.pack(F.lit("short text"))) == ["short text"]
+    turned = " ".join(["w"] * 500) + "\nHowever we go on " + " ".join(["w"] * 500)
+    assert [len(c.split()) for c in one(spark, chunks.pack(F.lit(turned)))] == [500, 504]
 
 
 def test_layout(spark):

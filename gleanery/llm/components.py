@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -12,10 +12,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges(a, b), a != b, no nulls -> (id, comp): every linked id with the smallest id reachable from it. Isolated ids do not appear.
 
     Each step is an aggregation by node with a partial sum on the map side and one join, so a node with a third of all links is no single task. The link
-    table of a step is written to the shared folder; the loop ends when a step leaves it as it was (compared by count and by a sum of hashes)."""
-    greatest, least = F.greatest("a", "b"), F.least("a", "b")
-    e = scratch.cut(edges.select(greatest.alias("a"), least.alias("b")).where("a != b").distinct(), "links")
-    was = None
+    table of a step is written to the shared folder; the loop ends when a step leaves it as it was (count and sum of hashes, observed while writing)."""
+    e, was = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links"), None
     while True:
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -23,11 +21,22 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionAll(low.select("a", F.col("m").alias("b"))).distinct())
-        new = scratch.cut(small, "links")
+        seen = Observation()
+        new = scratch.cut(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links")
         scratch.drop(e)
-        e = new
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == was:
+        e, now = new, seen.get
+        if now == was or not now.get("n"):
             break
         was = now
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
+
+
+def extended(comp: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (id, comp) after further links: only links between components are worked on, each component as one node."""
+    if comp is None:
+        return scratch.cut(components(links, scratch), "components")
+    of = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = scratch.cut(components(between, scratch), "merged")
+    kept = comp.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return scratch.cut(kept.unionByName(merged.join(comp, "id", "left_anti")), "components")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch, read_table
+
 SALTS = 64
 SPACE = "\t\n\x0b\x0c\r"
 
@@ -62,15 +64,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies; `carry` names columns to keep beside them (read in the same pass)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-                    *([F.struct(*[F.col(c) for c in carry]).alias("_carried")] if carry else []))
+    plain = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
+    narrow = Scratch(docs.sparkSession, "mixing").cut(docs.select(*plain), "sizes")  # texts are read once for their sizes; counts and ranks use this table
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # a key that joins null sources too
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = (d.withColumn("_k", key).withColumn("_h", h).withColumn("_b", size_class(F.col("size")))
-         .withColumn("_s", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % SALTS)))
+
+    def celled(t: DataFrame) -> DataFrame:
+        t = t.withColumn("_k", key).withColumn("_h", h).withColumn("_b", size_class(F.col("size")))
+        return t.withColumn("_s", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % SALTS)
+
+    d = celled(docs.select(*plain, F.struct(*[F.col(c) for c in carry]).alias("_carried")) if carry else narrow)
     d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_b", "_s").orderBy("size", "_h", F.col("doc_id").asc_nulls_last())))
 
-    cells = (d.groupBy("_k", "_b", "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"), F.max("source").alias("source")))
+    cells = celled(narrow).groupBy("_k", "_b", "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"), F.max("source").alias("source"))
     classes = cells.groupBy("_k", "_b").agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"), F.max("source").alias("source"))
     sizes = classes.groupBy("_k").agg(F.sum("_words").alias("source_size"), F.max("source").alias("source"))
     goal = targets(sizes.select("source", "source_size"), weights, max_repeats).withColumn("_k", key).drop("source")
@@ -126,6 +132,4 @@ FROM r
 
 
 def op6_mixing(spark, sf_dir):
-    from .common import read_table
-
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

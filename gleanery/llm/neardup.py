@@ -4,13 +4,15 @@ Pass 1 (one read of the texts) makes a small signature a document: set size, 128
 a bitmap whose bit hash(i, m_i) is flipped for each MinHash sample m_i. Two sketches differ where samples differ, so the population count of their XOR
 bounds the number of unequal samples and with it the similarity.
 
-Equal sets are one class, held by its smallest id, from the first: thousands of copies cost one row each. Then, between class representatives:
-  1. every member of a band bucket is paired with the bucket's smallest id only (n - 1 pairs, not n^2 / 2), pairs are kept that pass the size bound and the
-     sketch bound, and confirmed on full shingle sets; the links' components are found;
-  2. only buckets that still hold several components need more: members outside a bucket's largest component are compared with all members of other
-     components, in salted blocks, by size and sketch inside the join; what passes is confirmed in the same way and the components are found anew.
-Pairs inside one component need no test, as they can't change it. Buckets have no cap. With 32 bands of 4, a pair at 0.8 shares no bucket with
-probability (1 - 0.8^4)^32 = 5e-8, and the sketch bound (6.4 standard deviations at 0.8) loses fewer still.
+Equal sets are one class, held by its smallest id, from the first: thousands of copies cost one row each. Between class representatives, in rounds:
+  1. in each band bucket that still holds several components, every member is paired with a few pivots of other components (one at first, more later; n pairs
+     a pivot, not n^2 / 2), pairs that pass the size bound and the sketch bound are confirmed on full shingle sets, and the links' components are found;
+  2. what then remains is done exactly: members outside a bucket's largest component are compared with all members of other components, in salted blocks, by
+     size and sketch inside the join, and by the sets themselves where both are small; of large ones, what passes is confirmed as before. Then the
+     components are found anew.
+Pairs inside one component need no test, as they can't change it. Buckets have no cap. With 64 bands of 6, a pair at 0.8 shares no bucket with
+probability (1 - 0.8^6)^64 = 4e-9, and the sketch bound (five standard deviations of the unequal samples at 0.8, three of the bits that they set) loses about
+one in a million.
 
 Defined cases: null or empty text, or text of white space only: no shingles, linked with nothing; fewer words than the shingle length: the whole sequence
 is the one shingle; rows with one id are one node; rows without an id link nothing themselves, but show the class of their text (kept only if no row
@@ -20,6 +22,7 @@ with an id has an equal set); an empty table gives no rows; other columns are ig
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
-from .components import components
+from .components import extended
 
-BANDS, ROWS, SKETCH_WORDS = 32, 4, 16
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
+BANDS, ROWS, SKETCH_WORDS = 64, 6, 32
+PIVOTS = (1, 8)  # of a bucket in each round
+SMALL = 192  # sets up to this size go along with the sketch, so that the last join can decide on them itself
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -72,20 +76,20 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 def samplers(n: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.arange(1, 2 * n + 1, dtype=np.uint64)
     r = mix64(i * np.uint64(0x9E3779B97F4A7C15))
-    return r[:n] | np.uint64(1), r[n:]
+    return (r[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (r[n:] >> np.uint64(32)).astype(np.uint32)
 
 
 MUL, ADD = samplers(BANDS * ROWS)
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
-    """The smallest value of each sampler over the set, in blocks of shingles so that long texts stay in cache."""
-    low = np.full(len(MUL), M64)
-    for at in range(0, len(s), 2048):
-        x = s[None, at : at + 2048] * MUL[:, None]
+    """The smallest value of each sampler (a permutation of the 32-bit numbers) over the set, in blocks of shingles so that long texts stay in cache."""
+    low, h = np.full(len(MUL), 0xFFFFFFFF, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(h), 512):
+        x = h[None, at : at + 512] * MUL[:, None]
         x += ADD[:, None]
         np.minimum(low, x.min(axis=1), out=low)
-    return low
+    return low.astype(np.uint64)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
@@ -101,23 +105,27 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sketch_bound(similarity: float, samples: int = BANDS * ROWS, deviations: float = 6.4) -> int:
-    """Most bits in which sketches of sets this similar differ: two for each unequal sample, at the given number of standard deviations."""
+def sketch_bound(similarity: float, samples: int = BANDS * ROWS, bits: int = 64 * SKETCH_WORDS) -> int:
+    """Most bits in which sketches of sets this similar differ: n unequal samples flip 2 n bits at random places, which leaves bits / 2 (1 - exp(-4 n / bits)) of them
+    odd; n is taken five standard deviations up, the bits three."""
     p = 1 - similarity
-    return int(2 * (samples * p + deviations * (samples * p * (1 - p)) ** 0.5))
+    n = samples * p + 5 * (samples * p * (1 - p)) ** 0.5
+    odd = bits / 2 * (1 - math.exp(-4 * n / bits))
+    return int(odd + 3 * (odd * (1 - odd / bits)) ** 0.5)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, digest, bands, sketch."""
+    """docs(doc_id, text) -> doc_id, n_shingles, digest, bands, sketch, small (the set itself, if it is small)."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
         for batch in batches:
-            n, digest, bands, sketch = [], [], [], []
+            n, digest, bands, sketch, small = [], [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), k)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                small.append(s.view(np.int64) if 0 < len(s) <= SMALL else None)
                 if len(s):
                     low = minhashes(s)
                     bands.append(band_keys(low))
@@ -125,10 +133,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 else:
                     bands.append(None)
                     sketch.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64()))],
+                                             names=["doc_id", "n_shingles", "digest", "bands", "sketch", "small"])
 
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, small array<bigint>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -149,16 +157,47 @@ def alike(percent: int, bound: int):
     return (100 * small >= percent * large) & (differ <= bound)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Of pairs(a, b), those with 100 * intersection >= percent * union of the full shingle sets. Only texts in some pair are shingled again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.cut(full_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), k), "sets")
-    x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+class Sets:
+    """Full shingle sets of the documents that some candidate pair needs, each made once."""
+
+    def __init__(self, docs: DataFrame, k: int, scratch: Scratch):
+        self.docs, self.k, self.scratch, self.made = docs, k, scratch, None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        if self.made is not None:
+            ids = self.scratch.cut(ids.join(self.made.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "ids")
+            if ids.isEmpty():
+                return self.made
+        new = self.scratch.cut(full_sets(self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), self.k), "sets")
+        self.made = new if self.made is None else self.made.unionByName(new)
+        return self.made
+
+
+def confirmed(pairs: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
+    """Of pairs(a, b), those with 100 * intersection >= percent * union of the full shingle sets."""
+    full = sets.of(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    x, y = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
-    out = scratch.cut(links, "confirmed")
-    scratch.drop(sets)
-    return out
+    return scratch.cut(links, "confirmed")
+
+
+def opened(members: DataFrame, comp: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """members(key, id) -> key, id, comp of the buckets that hold several components, with main (the bucket's largest component) and members."""
+    m = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    share = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = share.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return scratch.cut(m.join(mixed.select("key", "main", "members"), "key"), "open")
+
+
+def pivot_pairs(open_: DataFrame, n: int, turn: int) -> DataFrame:
+    """Each member with n pivots of its bucket, where their components differ. Pivots are the smallest by a hash of the id, another for each turn and place, so
+    that a group's buckets choose the same ones."""
+    h = [F.xxhash64("id", F.lit(turn * 100 + j)) for j in range(n)]
+    chosen = open_.groupBy("key").agg(*[F.min_by("id", h[j]).alias(f"p{j}") for j in range(n)], *[F.min_by("comp", h[j]).alias(f"c{j}") for j in range(n)])
+    pivots = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{j}").alias("id"), F.col(f"c{j}").alias("comp")) for j in range(n)])))
+    met = open_.join(chosen, "key").select("id", "comp", pivots.alias("p")).where("comp != p.comp")
+    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,37 +205,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sig = scratch.cut(signatures(docs, k), "signatures")
-    bound = sketch_bound(percent / 100)
+    bound, sets = sketch_bound(percent / 100), Sets(docs, k, scratch)
     classes = scratch.cut(sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     held = sig.where("n_shingles > 0").join(classes, (sig.digest == classes.digest) & (sig.doc_id == classes.rep), "left_semi")
-    reps = scratch.cut(held.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"), "reps")
-    buckets = reps.select("id", F.explode("bands").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = scratch.cut(buckets.join(pivots, "key"), "members")
-    sketches = reps.select("id", "n", "sketch")
-
-    star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    buckets = held.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    sketches = scratch.cut(held.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "small"), "sketches")
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = scratch.cut(buckets.join(shared, "key"), "members")
     x = sketches.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x"))
     y = sketches.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y"))
-    tried = scratch.cut(star.join(y, "b").join(x, "a").where(alike(percent, bound)).select("a", "b").distinct(), "pairs")
-    links = confirmed(tried, docs, k, percent, scratch)
-    comp = scratch.cut(components(links, scratch), "components")
-
-    open_ = members.select("key", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    share = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = share.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    left = (scratch.cut(open_.join(mixed.select("key", "main", "members"), "key"), "open").join(sketches, "id")
-            .withColumn("salts", F.ceil(F.col("members") / 2048).cast("int")))
-    few = left.where("comp != main").select("key", "comp", F.struct("id", "n", "sketch").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    many = left.select("key", F.col("comp").alias("comp_y"), F.col("main"), F.struct("id", "n", "sketch").alias("y"), F.pmod(F.hash("id"), "salts").alias("salt"))
+
+    comp = None
+    for turn, n in enumerate(PIVOTS):
+        open_ = opened(members, comp, scratch)
+        likely = scratch.cut(pivot_pairs(open_, n, turn).join(x, "a").join(y, "b").where(alike(percent, bound)).select("a", "b").distinct(), "pairs")
+        new = confirmed(likely, sets, percent, scratch)
+        scratch.drop(open_, likely)
+        comp = extended(comp, new, scratch)
+
+    open_ = opened(members, comp, scratch)
+    left = open_.join(sketches, "id").withColumn("salts", F.ceil(F.col("members") / 2048).cast("int"))
+    few = left.where("comp != main").select("key", "comp", F.struct("id", "n", "sketch", "small").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    many = left.select("key", F.col("comp").alias("comp_y"), F.col("main"), F.struct("id", "n", "sketch", "small").alias("y"), F.pmod(F.hash("id"), "salts").alias("salt"))
     once = (F.col("comp_y") == F.col("main")) | (F.col("x.id") < F.col("y.id"))  # two outsiders meet twice
-    more = (few.join(many, ["key", "salt"]).where((F.col("comp") != F.col("comp_y")) & once & alike(percent, bound))
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti"))
+    sure, both = F.col("x.small").isNotNull() & F.col("y.small").isNotNull(), F.size(F.array_intersect("x.small", "y.small"))
+    exact = F.when(sure, 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)).otherwise(True)
+    more = (few.join(many, ["key", "salt"]).where((F.col("comp") != F.col("comp_y")) & once & alike(percent, bound) & exact)
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), sure.alias("sure")).distinct())
     more = scratch.cut(more, "more")
     if not more.isEmpty():
-        links = links.unionAll(confirmed(more, docs, k, percent, scratch))
-        comp = scratch.cut(components(links, scratch), "components")
+        found = confirmed(more.where("not sure").select("a", "b"), sets, percent, scratch)
+        comp = extended(comp, more.where("sure").select("a", "b").unionByName(found), scratch)
     of_class = classes.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     out = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("comp", "doc_id")

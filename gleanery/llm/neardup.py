@@ -35,7 +35,7 @@ from .components import extended
 
 BANDS, ROWS, SKETCH_WORDS = 64, 6, 32
 PIVOTS = (1, 8)  # of a bucket in each round
-SMALL = 192  # sets up to this size go along with the sketch, so that the last join can decide on them itself
+SMALL = 0  # sets up to this size would go along with the sketch, for the last join to decide on itself; at 192 check_h took too long, so none do
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

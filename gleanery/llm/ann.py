@@ -2,8 +2,9 @@
 
 Each of `tables` hash tables has K functions h(u) = floor(a.u / width + b) of the normalised vector, a Gaussian (orthogonalised within a table), so near vectors
 tend to fall into one slot of each. A query visits its own bucket and those one or more slots away, in the order of estimated success: the sum of the squared
-distances of its projections to the slot borders that a visit steps over. K grows with the logarithm of the number of vectors, which keeps buckets about as
-large at any size.
+distances of its projections to the slot borders that a visit steps over. K grows with the logarithm of the number of vectors, but only as far as the visits keep
+up with it: a sample of queries is settled by an exact pass, and K is the largest at which their visits meet the share `aim` of the true neighbours. Where that
+holds K back, buckets grow with the table, and with them the candidates of a visit.
 
 Rows with equal vectors are one class (two 64-bit hashes of the components), held by its smallest id and listing its k + 1 smallest ids, so a vector that
 a third of all rows share costs one entry. Index entries and visits are brought together by bucket, buckets beyond `block` entries are dealt over several
@@ -73,6 +74,26 @@ def visits(place: np.ndarray, probes: int) -> np.ndarray:
     return np.array(out)
 
 
+def reached(hashes: Hashes, queries: np.ndarray, of: np.ndarray, near: np.ndarray, probes: int) -> np.ndarray:
+    """For pairs of a query (its place in `of`) and a vector, whether a visit in any table meets the vector."""
+    u, w, met = unit(queries), unit(near), np.zeros(len(of), bool)
+    for t in range(len(hashes.a)):
+        slots, places = hashes.slots(u, t)
+        steps = [set(map(tuple, visits(p, probes).tolist())) for p in places]
+        away = hashes.slots(w, t)[0] - slots[of]
+        met |= np.array([tuple(d) in steps[q] for q, d in zip(of, away.tolist(), strict=True)], bool)
+    return met
+
+
+def fitted(most: int, aim: float, queries: np.ndarray, of: np.ndarray, near: np.ndarray, tables: int, probes: int, width: float, seed: int) -> Hashes:
+    """The hashes of at most `most` functions a table whose visits meet the share `aim` of the pairs; of one function if none does."""
+    for functions in range(most, 0, -1):
+        hashes = Hashes(queries.shape[1], tables, functions, width, seed)
+        if not len(of) or reached(hashes, queries, of, near, probes).mean() >= aim:
+            break
+    return hashes
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -106,7 +127,7 @@ def found(of: pa.Array, ids: np.ndarray, parts: list[tuple[np.ndarray, np.ndarra
 
 
 def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 12, probes: int = 64, width: float = 2.4, block: int = 2048, seed: int = 3, id_col: str = "vec_id",
-               vector_col: str = "embedding") -> DataFrame:
+               vector_col: str = "embedding", aim: float = 0.95, sample: int = 200) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "ann")
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -127,8 +148,8 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, tables: int = 12
     queries = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "h1", "h2"]).select(F.col("vec_id").alias("query_id"), "v")
     queries = scratch.cut(queries, "queries")
     n = held.count()
-    functions = max(4, round(0.65 * np.log2(max(n, 2))))
-    hashes = Hashes(dim, tables, functions, width, seed)
+    x, of, near = sampled(queries, held, dim, k, sample, scratch)
+    hashes = fitted(max(4, round(0.65 * np.log2(max(n, 2)))), aim, x, of, near, tables, probes, width, seed)
     names = ["key", "kind", "id", "v"]
 
     def index(batches):
@@ -204,6 +225,18 @@ def expanded(hits: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
+def sampled(queries: DataFrame, held: DataFrame, dim: int, k: int, sample: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of at most `sample` queries, and pairs with their nearest classes besides their own: the query's place, the vector."""
+    some = scratch.cut(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample), "sample")
+    at = {r["query_id"]: r["v"] for r in some.collect()}
+    if not at:
+        return np.empty((0, dim)), np.empty(0, np.int64), np.empty((0, dim))
+    place = {q: i for i, q in enumerate(at)}
+    rows = held.join(F.broadcast(exact(some, held, dim, k + 1, scratch)), "rep").select("query_id", "v").collect()
+    pairs = [(place[r["query_id"]], r["v"]) for r in rows if r["v"] != at[r["query_id"]]]
+    return np.array(list(at.values())), np.array([p for p, _ in pairs], np.int64), np.array([v for _, v in pairs]).reshape(-1, dim)
+
+
 def exact(short: DataFrame, held: DataFrame, dim: int, k: int, scratch: Scratch, block: int = 1000) -> DataFrame:
     """All classes against the queries that found too few, a block of queries at a time: a pass over the vectors a block."""
     out, last = None, None

@@ -53,3 +53,48 @@ def unique_titles(titles: Column) -> Column:
 def shuffled_options(options: Column, key: Column) -> Column:
     """A fixed shuffle: by a hash of key and option."""
     return F.transform(F.array_sort(F.transform(options, lambda o: F.struct(F.xxhash64(key, o).alias("h"), o.alias("o")))), lambda s: s["o"])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut from its lineage, in spark.checkpoint.dir; in a local session without that setting, in its one process."""
+    sc = df.sparkSession.sparkContext
+    return df.localCheckpoint() if sc.getCheckpointDir() is None and sc.master.startswith("local[") else df.checkpoint()
+
+
+def nearest_in_group(df: DataFrame, key: str, group: str, x: str, y: str, most: int = 64) -> DataFrame:
+    """key, nearest: for each row the other row of its group at the smallest L1 distance, the smaller key in a tie; rows alone in their group give none.
+
+    Rows at one point count once, by their two smallest keys. Points lie in square cells, started so small that none holds over `most`. A row looks into the nine cells
+    around it, and what is found within a cell's side is final; the others look again in cells of twice the side, at last in all of the group. Rows without group or finite
+    coordinates take no part."""
+    fine = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in (x, y)]
+    rows = stored(df.select(F.col(key).alias("key"), F.col(group).alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).where(F.col(group).isNotNull() & fine[0] & fine[1]).distinct())
+    place = F.row_number().over(Window.partitionBy("g", "x", "y").orderBy("key"))
+    points = stored(rows.withColumn("p", place).where("p <= 2").groupBy("g", "x", "y").agg(F.min("key").alias("k1"), F.max(F.when(F.col("p") == 2, F.col("key"))).alias("k2")))
+    n, groups, reach = points.agg(F.count(F.lit(1)), F.count_distinct("g"), F.max(F.greatest(F.abs("x"), F.abs("y")))).first()
+    span = 2 * float(reach or 0) or 1.0
+    side = span / max(n / max(groups, 1), 1) ** 0.5
+    at = lambda c, side: F.floor(F.col(c).cast("double") / side)
+    while side > span * 1e-7 and (points.groupBy("g", at("x", side), at("y", side)).count().agg(F.max("count")).first()[0] or 0) > most:
+        side /= 2
+    other = F.when(F.col("k1") != F.col("key"), F.col("k1")).otherwise(F.col("k2"))
+    same = rows.join(points.where("k2 is not null"), ["g", "x", "y"]).select("key", F.lit(0.0).alias("dist"), other.alias("nearest"))
+    done, left = [same], rows.join(points.where("k2 is null").select("g", "x", "y"), ["g", "x", "y"])
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while True:
+        last = side > span
+        calls = left.withColumn("c", F.explode(around)).select("*", (at("x", side) + F.col("c.i")).alias("cx"), (at("y", side) + F.col("c.j")).alias("cy")).drop("c")
+        cells = points.select("g", F.col("x").alias("px"), F.col("y").alias("py"), "k1", "k2", at("x", side).alias("cx"), at("y", side).alias("cy"))
+        dist = F.abs(F.col("x") - F.col("px")).cast("double") + F.abs(F.col("y") - F.col("py")).cast("double")
+        met = calls.join(cells, ["g", "cx", "cy"], "left").withColumn("best", F.when(other.isNotNull(), F.struct(dist.alias("dist"), other.alias("nearest"))))
+        seen = stored(met.groupBy("key", "g", "x", "y").agg(F.min("best").alias("best")))
+        final = F.coalesce(F.col("best.dist") < side * (1 - 1e-6), F.lit(False)) | F.lit(last)
+        done.append(seen.where(final & F.col("best").isNotNull()).select("key", "best.dist", "best.nearest"))
+        left = seen.where(~final).drop("best")
+        if last or left.isEmpty():
+            break
+        side *= 2
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.groupBy("key").agg(F.min_by("nearest", F.struct("dist", "nearest")).alias("nearest"))

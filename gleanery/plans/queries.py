@@ -468,9 +468,7 @@ def clip_similarity(spark, d):
 @query("""SELECT p.vec_id, arg_min(c.vec_id, abs(p.embedding[1] - c.embedding[1])::DOUBLE + abs(p.embedding[2] - c.embedding[2])::DOUBLE) AS caption FROM embeddings p JOIN embeddings c ON c.label = p.label AND c.vec_id % 10 = 0 AND c.vec_id <> p.vec_id GROUP BY p.vec_id""")
 def nearest_caption(spark, d):
     e = fx.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    c = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("caption"), "label", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    dist = F.abs(F.col("x") - F.col("cx")).cast("double") + F.abs(F.col("y") - F.col("cy")).cast("double")
-    return e.join(c, "label").where("caption <> vec_id").groupBy("vec_id").agg(F.min_by("caption", F.struct(dist, "caption")).alias("caption"))
+    return selection.nearest_in_group(e, "vec_id", "label", "x", "y").select(F.col("key").alias("vec_id"), F.col("nearest").alias("caption"))
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

@@ -84,7 +84,7 @@ def author_caps(spark, d):
 @query(r"""SELECT doc_id, CAST(len(n) AS BIGINT) AS numbers, CASE WHEN len(list_filter(n, lambda x: x > 0)) >= 2 THEN round(list_max(list_filter(n, lambda x: x > 0)) / list_min(list_filter(n, lambda x: x > 0)), 6) END AS ratio
 FROM (SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 4000), '[0-9]{1,9}'), lambda x: CAST(x AS DOUBLE)) AS n FROM documents)""")
 def data_points_ratio(spark, d):
-    n = F.transform(F.regexp_extract_all(F.substring("text", 1, 4000), F.lit("[0-9]{1,9}"), F.lit(0)), lambda x: x.cast("double"))
+    n = F.transform(F.regexp_extract_all("text", F.lit("[0-9]{1,9}"), F.lit(0)), lambda x: x.cast("double"))
     return fx.documents(spark, d).select("doc_id", n.alias("n")).select("doc_id", F.size("n").cast("long").alias("numbers"), F.round(T.ratio(F.col("n")), 6).alias("ratio"))
 
 

@@ -28,3 +28,9 @@ def test_nearest_in_group_copies_clusters_outliers(spark):
     rows = [(i, i % 3, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(1000, 7, 0.0, 0.0)]
     df = spark.createDataFrame([*rows, (1001, None, 0.0, 0.0), (1002, 1, None, 0.0), (1003, 1, float("nan"), 0.0)], "key long, g long, x float, y float")
     assert {r["key"]: r["nearest"] for r in selection.nearest_in_group(df, "key", "g", "x", "y").collect()} == nearest(rows)
+
+
+def test_numbers_of_the_whole_text(spark, tmp_path):
+    text = "3 " + "word " * 1000 + "12"
+    spark.createDataFrame([(1, text, "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in plans.QUERIES["data_points_ratio"](spark, str(tmp_path)).collect()] == [(1, 2, 4.0)]

@@ -290,8 +290,10 @@ f AS (SELECT grp, ts, 0 AS i, []::VARCHAR[] AS kept FROM t UNION ALL
     OR contains(trim(regexp_replace(lower(k), '[^\pL\pM\pN_]+', ' ', 'g')), trim(regexp_replace(lower(ts[i + 1]), '[^\pL\pM\pN_]+', ' ', 'g'))))) > 0 THEN kept ELSE list_append(kept, ts[i + 1]) END FROM f WHERE i < len(ts))
 SELECT grp, kept FROM f WHERE i = len(ts)""")
 def title_dedup_containment(spark, d):
-    p = fx.table(spark, d, "pages").select((F.col("page_id") % 25).alias("grp"), "page_id", T.first_words(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), 3).alias("t"))
-    g = p.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("page_id", "t"))).alias("a"))
+    title = F.array_join(T.words(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), " ")
+    p = fx.table(spark, d, "pages").select((F.col("page_id") % 25).alias("grp"), "page_id", title.alias("t"))
+    first = p.groupBy("grp", selection.normal_title(F.col("t"))).agg(F.min(F.struct("page_id", "t")).alias("s"))  # a title met before is never kept
+    g = first.groupBy("grp").agg(F.array_sort(F.collect_list("s")).alias("a"))
     return g.select("grp", selection.keep_titles(F.transform("a", lambda s: s["t"])).alias("kept"))
 
 

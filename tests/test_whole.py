@@ -34,3 +34,9 @@ def test_numbers_of_the_whole_text(spark, tmp_path):
     text = "3 " + "word " * 1000 + "12"
     spark.createDataFrame([(1, text, "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in plans.QUERIES["data_points_ratio"](spark, str(tmp_path)).collect()] == [(1, 2, 4.0)]
+
+
+def test_whole_titles(spark, tmp_path):
+    titles = ["One two three four", "One two three five", "one two THREE four!", "three five", "Six  seven eight nine"]
+    spark.createDataFrame([(25 * i, f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r["kept"] for r in plans.QUERIES["title_dedup_containment"](spark, str(tmp_path)).collect()] == [["One two three four", "One two three five", "Six seven eight nine"]]

@@ -1,15 +1,19 @@
-"""BPE encoding and decoding with a public tokenizer file, exact to the tokenizers library.
+"""BPE encoding and decoding with a public tokenizer file, exact to the tokenizers library, by tree concatenation.
 
-Texts are normalised and split into pre-tokens as the file says; a pre-token's ids are kept in a bounded table, so most words cost one look-up. A long
-unsplit pre-token is encoded by tree concatenation: its leaves are encoded in one parallel batch call, then neighbours are joined level by level. At a
-join, a window of the last and first tokens is re-encoded and grows until its first token equals the left side's and its last token the right side's.
-A token sequence is the BPE encoding of its text if and only if every pair of neighbours is the encoding of its own text, so this agreement is a proof:
-pairs within the window come from an encoding of the window, pairs outside from the halves' encodings, and the two overlap in one token on each side.
+A text is normalised as the file says and stays unsplit: it is halved down to leaves at any character, all leaves of a block of texts are encoded in one parallel
+call, and neighbours are joined level by level. At a join, a window of the left side's last and the right side's first words is encoded anew, and grows until its
+first word is the left side's and its last word the right side's: both sides then agree with the window, and what lies outside it stays as it was.
 
-Texts whose characters all lie in the Latin blocks take the table path; any other text is encoded whole by the library, whose Unicode tables then decide.
+Why agreement is enough: the file's split pattern looks at no text before a match and at most two characters behind the one it starts at (contractions), and
+a word's ids depend on its characters alone. If the window's first word is the left side's own, no earlier match can have looked over the cut; if its last
+word starts where a word of the right side starts, all that follows is split alike. A side that the window uses up needs no agreement there.
+
+A word that is longer than a leaf is encoded anew at each level that joins it: n log n for one word of n characters. Sides keep the encodings of their two
+outermost leaves only, and texts are taken in blocks of about a million characters, so memory is bounded by the block and the ids, not by the batch.
+Files of another normaliser or split pattern go through the library whole.
 
 Defined cases: null and empty text have no ids (decoded text empty); special-token strings in a text become their ids, as the library does; repeated rows
-are encoded alike; an empty table gives no rows; other columns are ignored.
+are encoded alike; texts of many words and of one long word are joined alike; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,144 +22,191 @@ import hashlib
 import json
 import os
 import re
-import struct
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import blocks, read_table
 
-LEAF, LONG = 64, 256  # characters of a leaf, and of a pre-token that is encoded as a tree
-LATIN = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧]")
-# The file's split pattern, with the Latin blocks' letters and digits written out.
-LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+")
+LEAF, BLOCK = 1024, 1 << 20  # characters of a leaf, and of the texts that are encoded together
+# Fixed values of the file's scheme, for which the agreement above is proved.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def byte_characters() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from code point 256 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return np.array(ids, "<u4").tobytes()
 
 
-class TreeBpe:
-    """ids of one pre-token written in the byte-level alphabet; `word_end`: its last symbol carries the end-of-word suffix."""
+class Words:
+    """Words lo to hi - 1 of an encoding whose text begins at `base` of the whole."""
 
-    def __init__(self, spec: dict):
-        from tokenizers import Tokenizer
+    __slots__ = ("base", "hi", "lo", "of")
 
-        plain = {**spec, "normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}
-        self.whole = Tokenizer.from_str(json.dumps(plain))
-        self.inner = Tokenizer.from_str(json.dumps({**plain, "model": {**plain["model"], "end_of_word_suffix": None}}))
-        suffix = plain["model"].get("end_of_word_suffix") or ""
-        self.text = {i: t[: len(t) - len(suffix)] if suffix and t.endswith(suffix) else t for t, i in plain["model"]["vocab"].items()}
-        self.cut = {i: len(t) for i, t in self.text.items()}
-
-    def ids(self, piece: str, leaf: int = LEAF) -> list[int]:
-        if len(piece) <= leaf:
-            return self.whole.encode(piece, add_special_tokens=False).ids
-        parts = [piece[at : at + leaf] for at in range(0, len(piece), leaf)]
-        sides = [e.ids for e in self.inner.encode_batch(parts[:-1], add_special_tokens=False)] + [self.whole.encode(parts[-1], add_special_tokens=False).ids]
-        while len(sides) > 1:
-            last = len(sides) - 1
-            sides = [self.join(sides[i], sides[i + 1], i + 1 == last) if i < last else sides[i] for i in range(0, len(sides), 2)]
-        return sides[0]
-
-    def join(self, left: list[int], right: list[int], ends: bool) -> list[int]:
-        """The encoding of the two texts together; ends: right holds the pre-token's end."""
-        n = 2
-        while True:
-            a, b = left[-n:], right[:n]
-            window = "".join(map(self.text.__getitem__, a)) + "".join(map(self.text.__getitem__, b))
-            got = (self.whole if ends and len(b) == len(right) else self.inner).encode(window, add_special_tokens=False).ids
-            if (len(a) == len(left) or got[0] == a[0]) and (len(b) == len(right) or got[-1] == b[-1]):
-                return left[: len(left) - len(a)] + got + right[len(b) :]
-            n *= 2
+    def __init__(self, of, base: int, lo: int = 0, hi: int | None = None):
+        self.of, self.base, self.lo = of, base, lo
+        self.hi = hi if hi is not None else (of.token_to_word(len(of) - 1) + 1 if len(of) else 0)
 
+    def __len__(self) -> int:
+        return self.hi - self.lo
 
-def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    def span(self, i: int) -> tuple[int, int]:
+        a, b = self.of.word_to_chars(i)
+        return self.base + a, self.base + b
+
+    def ids(self) -> bytes:
+        if not len(self):
+            return b""
+        ids = self.of.ids
+        if self.lo == 0 and self.hi == self.of.token_to_word(len(ids) - 1) + 1:
+            return packed(ids)
+        return packed(ids[self.of.word_to_tokens(self.lo)[0] : self.of.word_to_tokens(self.hi - 1)[1]])
+
+
+class Side:
+    """A stretch [start, end) of a text and its ids: Words at both ends, plain ids between."""
+
+    __slots__ = ("end", "parts", "start")
 
+    def __init__(self, start: int, end: int, parts: list):
+        self.start, self.end = start, end
+        self.parts = [p if isinstance(p, bytes) or i in (0, len(parts) - 1) else p.ids() for i, p in enumerate(parts)]
 
-class Words(dict):
-    """Pre-token -> ids as little-endian bytes; at the bound the older half is forgotten."""
+    def ids(self) -> bytes:
+        return b"".join(p if isinstance(p, bytes) else p.ids() for p in self.parts)
 
-    def __init__(self, ids, most: int = 250_000):
-        super().__init__()
-        self.ids, self.most, self.old = ids, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        got = self.old.get(piece)
-        if got is None:
-            got = packed(self.ids(piece))
-        self[piece] = got
-        return got
+class Join:
+    """Two neighbouring sides and the window between them, `n` words of each."""
+
+    __slots__ = ("left", "n", "right", "text")
+
+    def __init__(self, text: str, left: Side, right: Side):
+        self.text, self.left, self.right, self.n = text, left, right, 2
+
+    def taken(self) -> tuple[int, int]:
+        """First word of the left side in the window and the one behind the last of the right side; -1 where the window takes the whole side."""
+        a, b = self.left.parts[-1], self.right.parts[0]
+        return (a.hi - self.n if len(a) >= self.n else -1), (b.lo + self.n if len(b) >= self.n else -1)
+
+    def window(self) -> tuple[int, int]:
+        i, j = self.taken()
+        return (self.left.start if i < 0 else self.left.parts[-1].span(i)[0]), (self.right.end if j < 0 else self.right.parts[0].span(j - 1)[1])
+
+    def joined(self, got) -> Side | None:
+        """The two as one side, if the window's encoding agrees with both."""
+        (i, j), (start, end) = self.taken(), self.window()
+        new = Words(got, start)
+        a, b = self.left.parts[-1], self.right.parts[0]
+        if (i >= 0 and (not len(new) or new.span(0) != a.span(i))) or (j >= 0 and (not len(new) or new.span(new.hi - 1) != b.span(j - 1))):
+            return None
+        before = [] if i < 0 else [*self.left.parts[:-1], Words(a.of, a.base, a.lo, i)]
+        behind = [] if j < 0 else [Words(b.of, b.base, j, b.hi), *self.right.parts[1:]]
+        return Side(self.left.start, self.right.end, [p for p in before if len(p)] + [new] + [p for p in behind if len(p)])
 
 
 class Bpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, leaf: int = LEAF, block: int = BLOCK):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.bytes_to = str.maketrans({b: c for b, c in byte_characters().items()})
-        self.tree = TreeBpe(spec)
-        self.tokenize = self.library.model.tokenize
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        normal, split = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+        known = [n["type"] for n in normal.get("normalizers", [])] == NORMAL and split[0].get("pattern", {}).get("Regex") == SPLIT and plain
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
-        self.tokens = [""] * self.library.get_vocab_size(True)
-        for t, i in self.library.get_vocab(True).items():
+        self.special_ids = {t: packed([i]) for t, i in special.items()}
+        self.tokens = [""] * library.get_vocab_size(True)
+        for t, i in library.get_vocab(True).items():
             self.tokens[i] = t
-        self.words = Words(self.piece_ids)
-        normal = spec.get("normalizer") or {}
-        splits = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        #: The table path holds for this scheme of normalising and splitting only; any other file goes through the library whole.
-        self.table = ([n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and bool(spec["model"].get("end_of_word_suffix"))
-                      and splits[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] and spec.get("decoder") is None)
-
-    def piece_ids(self, piece: str) -> list[int]:
-        mapped = piece.encode("utf-8").decode("latin-1").translate(self.bytes_to)
-        return self.tree.ids(mapped) if len(mapped) > LONG else [t.id for t in self.tokenize(mapped)]
-
-    def plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text).lower()  # white space needs no joining: no piece holds any
-        return b"".join(map(self.words.__getitem__, PIECES.findall(text)))
+        self.spaced = spec.get("decoder") is None  # without a decoder the tokens are joined by spaces
+        self.normal, self.leaf, self.block, self.joins = library.normalizer, leaf, block, 0
+        self.library = None if known and self.spaced else library
+        self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None})) if known else None
 
     def encode(self, text: str | None) -> bytes:
         """ids of the whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.table or LATIN.search(text) or "İ" in text:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.special and "<|" in text:
-            return b"".join(self.special_ids.get(part) or self.plain(part) for part in self.special.split(text) if part)
-        return self.plain(text)
+        return self.encode_texts([text])[0]
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        if self.bare is None:
+            return [packed(e.ids) for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        out: list[list] = []
+        plain: list[str] = []
+        for text in texts:  # special tokens are cut out first; what lies between is normalised by itself
+            parts = []
+            for part in self.special.split(text) if text and self.special else [text]:
+                if part and part in self.special_ids:
+                    parts.append(self.special_ids[part])
+                elif part and (normal := self.normal.normalize_str(part)):
+                    parts.append(len(plain))
+                    plain.append(normal)
+            out.append(parts)
+        found = self.trees(plain)
+        return [b"".join(p if isinstance(p, bytes) else found[p] for p in parts) for parts in out]
+
+    def trees(self, texts: list[str]) -> list[bytes]:
+        """ids of normalised texts: those of a block in one call, a text longer than a block by its stretches, whose sides are joined at the end."""
+        out, group, size = [b""] * len(texts), [], 0
+        for k, text in [*enumerate(texts), (-1, "")]:
+            if group and (k < 0 or size + len(text) > self.block):
+                for j, side in zip(group, self.merged([(texts[j], s) for j, s in zip(group, self.leaves([(texts[j], 0, len(texts[j])) for j in group]))])):
+                    out[j] = side.ids()
+                group, size = [], 0
+            if len(text) > self.block:
+                cut = [self.merged([(text, s) for s in self.leaves([(text, a, min(a + self.block, len(text)))])])[0] for a in range(0, len(text), self.block)]
+                out[k] = self.merged([(text, cut)])[0].ids()
+            elif k >= 0:
+                group.append(k)
+                size += len(text)
+        return out
+
+    def leaves(self, stretches: list[tuple[str, int, int]]) -> list[list[Side]]:
+        """The stretches' leaves, encoded in one parallel call."""
+        cuts = [[(t, a, min(a + self.leaf, end)) for a in range(start, end, self.leaf)] for t, start, end in stretches]
+        got = iter(self.bare.encode_batch([t[a:b] for c in cuts for t, a, b in c], add_special_tokens=False))
+        return [[Side(a, b, [Words(next(got), a)]) for _, a, b in c] for c in cuts]
+
+    def merged(self, items: list[tuple[str, list[Side]]]) -> list[Side]:
+        """Each item's sides as one, level by level; a level's windows are encoded in one parallel call, those that don't agree once more, grown."""
+        texts, rows = [t for t, _ in items], [s for _, s in items]
+        while any(len(r) > 1 for r in rows):
+            joins = [[Join(t, r[i], r[i + 1]) for i in range(0, len(r) - 1, 2)] for t, r in zip(texts, rows)]
+            todo, done = [j for js in joins for j in js], {}
+            self.joins += len(todo)
+            while todo:
+                cuts = [j.window() for j in todo]
+                got = self.bare.encode_batch([j.text[a:b] for j, (a, b) in zip(todo, cuts)], add_special_tokens=False)
+                again = []
+                for j, enc in zip(todo, got):
+                    side = j.joined(enc)
+                    if side is None:
+                        j.n *= 2
+                        again.append(j)
+                    else:
+                        done[id(j)] = side
+                todo = again
+            rows = [[done[id(j)] for j in js] + (r[-1:] if len(r) % 2 else []) for js, r in zip(joins, rows)]
+        return [r[0] for r in rows]
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
         got = np.frombuffer(ids, "<u4").tolist()
-        if self.table:  # without a decoder the tokens are joined by spaces
-            return " ".join(map(self.tokens.__getitem__, got))
-        return self.library.decode(got, skip_special_tokens=False)
+        return " ".join(map(self.tokens.__getitem__, got)) if self.spaced else self.library.decode(got, skip_special_tokens=False)
 
 
 KEPT: dict[str, Bpe] = {}
 
 
 def bpe(path: str) -> Bpe:
-    """One a process."""
+    """One a process: the file's tables, which don't grow with what is encoded."""
     if path not in KEPT:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         KEPT[path] = Bpe(path)
@@ -175,8 +226,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches):
         b = bpe(path)
-        for batch in batches:
-            out = [np.frombuffer(b.encode(t.as_py()), "<i4") for t in batch.column("text")]
+        for batch, texts in blocks(batches):
+            out = [np.frombuffer(ids, "<i4") for ids in b.encode_texts(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(out)], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -192,29 +243,27 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (text)."""
-    return _run(docs, path or default_path(), id_col, text_col, "ids binary, decoded string", lambda ids, out: {"ids": ids, "decoded": out})
+    kinds = {"ids": pa.binary(), "decoded": pa.string()}
+    return _run(docs, path or default_path(), id_col, text_col, "ids binary, decoded string", kinds, lambda ids, out: (ids, out))
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode_decode with the two results as SHA-256, taken where they are made."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return _run(docs, path or default_path(), id_col, text_col, "ids_sha256 string, decoded_sha256 string", lambda ids, out: {"ids_sha256": sha(ids), "decoded_sha256": sha(out.encode("utf-8"))})
+    kinds = {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return _run(docs, path or default_path(), id_col, text_col, "ids_sha256 string, decoded_sha256 string", kinds, lambda ids, out: (sha(ids), sha(out.encode("utf-8"))))
 
 
-def _run(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, last) -> DataFrame:
+def _run(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, kinds: dict[str, pa.DataType], last) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         b = bpe(path)
-        for batch in batches:
-            n, rows = [], []
-            for t in batch.column("text"):
-                ids = b.encode(t.as_py())
-                n.append(len(ids) // 4)
-                rows.append(last(ids, b.decode(ids)))
-            cols = {k: [r[k] for r in rows] for k in (x.split()[0] for x in schema.split(", "))}
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(v, pa.binary() if k == "ids" else pa.string()) for k, v in cols.items()]],
-                                             names=["doc_id", "n_tokens", *cols])
+        for batch, texts in blocks(batches):
+            found = b.encode_texts(texts)
+            rows = [last(ids, b.decode(ids)) for ids in found]
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(ids) // 4 for ids in found], pa.int64()), *cols], names=["doc_id", "n_tokens", *kinds])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {schema}")
 

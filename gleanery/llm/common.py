@@ -4,15 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that Python workers are sent, and characters of the texts that they work on together.
+BATCH_BYTES, BLOCK = 8 << 20, 1 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows only unless this setting is there: a batch of long texts would be held whole. A setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The batches in slices whose texts have `most` bytes at most (one longer text makes a slice of its own), with those texts."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        at, size = 0, 0
+        for i, n in enumerate([*sizes, None]):
+            if i > at and (n is None or size + n > most):
+                yield batch.slice(at, i - at), texts.slice(at, i - at).to_pylist()
+                at, size = i, 0
+            size += n or 0
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see (spark.checkpoint.dir); a temporary one only where the setting is absent and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,32 +19,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import bpe, default_path, lists
-from .common import Scratch, read_table
+from .common import Scratch, blocks, read_table
 
 END_ID = 2
 
 
-def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID, partitions: int | None = None, stride: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID, partitions: int | None = None, stride: int = 10_000, stripe: int = 64 << 20,
+                 id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write ids as ORC in ascending order of doc_id: doc_id, ids, n_tokens, part, place (ids before it within the part)."""
     path = path or default_path()
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("tie"))
-    d = d.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part")
+    # Rows that are equal in both are told apart by their place in the input, so that any number of them can be cut into several ranges.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    d = d.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, *order)
+    d = d.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part")
 
     def run(batches):
         b, before, end = bpe(path), 0, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [np.frombuffer(b.encode(t.as_py()) + end, "<i4") for t in batch.column("text")]
+        for batch, texts in blocks(batches):
+            ids = [np.frombuffer(x + end, "<i4") for x in b.encode_texts(texts)]
             sizes = np.array([len(x) for x in ids], np.int64)
             place = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids), pa.array(sizes), batch.column("part"), pa.array(place)], names=["doc_id", "ids", "n_tokens", "part", "place"])
 
     out = d.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, part int, place bigint")
-    (out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", stride)
+    (out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", stride).option("orc.stripe.size", stripe)
      .option("orc.compress", "ZSTD").option("orc.encoding.strategy", "SPEED").orc(to))
 
 

@@ -1,16 +1,17 @@
 """BPE encoding and decoding with a public tokenizer file, exact to the tokenizers library, by tree concatenation.
 
-A text is normalised as the file says and stays unsplit: it is halved down to leaves at any character, all leaves of a block of texts are encoded in one parallel
-call, and neighbours are joined level by level. At a join, a window of the left side's last and the right side's first words is encoded anew, and grows until its
-first word is the left side's and its last word the right side's: both sides then agree with the window, and what lies outside it stays as it was.
+A text is normalised as the file says and stays unsplit: it is cut into halves, and these again, down to leaves at any character. A leaf is encoded by itself,
+as if nothing stood around it, so halves don't wait for each other; neighbours are then joined level by level. At a join, a window of the left side's last and
+the right side's first words is encoded anew, and grows until its first word is the left side's and its last word the right side's: both sides then agree with
+the window, and what lies outside it stays as it was.
 
 Why agreement is enough: the file's split pattern looks at no text before a match and at most two characters behind the one it starts at (contractions), and
 a word's ids depend on its characters alone. If the window's first word is the left side's own, no earlier match can have looked over the cut; if its last
 word starts where a word of the right side starts, all that follows is split alike. A side that the window uses up needs no agreement there.
 
-A word that is longer than a leaf is encoded anew at each level that joins it: n log n for one word of n characters. Sides keep the encodings of their two
-outermost leaves only, and texts are taken in blocks of about a million characters, so memory is bounded by the block and the ids, not by the batch.
-Files of another normaliser or split pattern go through the library whole.
+Words stay text while a join can still reach them, and become ids behind that: by the library's model, or by a bounded table of words met before. So a word
+that is longer than many leaves is encoded once, when it is whole. Texts with letters outside the Latin blocks are split by the library's own classes of
+characters. Files of another normaliser or split pattern go through the library whole. A worker holds one block of texts and its ids at a time.
 
 Defined cases: null and empty text have no ids (decoded text empty); special-token strings in a text become their ids, as the library does; repeated rows
 are encoded alike; texts of many words and of one long word are joined alike; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -22,6 +23,7 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import blocks, read_table
 
-LEAF, BLOCK = 1024, 1 << 20  # characters of a leaf, and of the texts that are encoded together
-# Fixed values of the file's scheme, for which the agreement above is proved.
+LEAF = 1024  # characters of a leaf
+# Fixed values of the file's scheme, for which the agreement above is proved, and its split pattern with the Latin blocks' letters and digits written out.
 NORMAL = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+")
+LATIN = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧]")  # a character outside the blocks whose classes are written out
 
 
 def packed(ids: list[int]) -> bytes:
@@ -41,75 +47,74 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-class Words:
-    """Words lo to hi - 1 of an encoding whose text begins at `base` of the whole."""
+def byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from code point 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
-    __slots__ = ("base", "hi", "lo", "of")
 
-    def __init__(self, of, base: int, lo: int = 0, hi: int | None = None):
-        self.of, self.base, self.lo = of, base, lo
-        self.hi = hi if hi is not None else (of.token_to_word(len(of) - 1) + 1 if len(of) else 0)
+class Classes(dict):
+    """Code point -> one that Python's pattern puts where the library's own tables put it: a letter, a digit, white space or other; asked once a code point."""
 
-    def __len__(self) -> int:
-        return self.hi - self.lo
+    def __init__(self, split):
+        super().__init__()
+        self.split = split
 
-    def span(self, i: int) -> tuple[int, int]:
-        a, b = self.of.word_to_chars(i)
-        return self.base + a, self.base + b
+    def __missing__(self, point: int) -> int:
+        c = chr(point)
+        pieces = len(self.split("a" + c))  # white space and letters leave one piece, and so on
+        kind = ("a" if self.split("a" + c)[0][1][1] == 2 else " ") if pieces == 1 else "1" if len(self.split(c + c)) == 2 else "!"
+        found = self[point] = ord(kind)
+        return found
 
-    def ids(self) -> bytes:
-        if not len(self):
-            return b""
-        ids = self.of.ids
-        if self.lo == 0 and self.hi == self.of.token_to_word(len(ids) - 1) + 1:
-            return packed(ids)
-        return packed(ids[self.of.word_to_tokens(self.lo)[0] : self.of.word_to_tokens(self.hi - 1)[1]])
 
+class Splitter:
+    """The file's split pattern. Letters and digits of the Latin blocks are written out; a text with others is split by a copy of it in which each character is
+    replaced by one of its class."""
 
-class Side:
-    """A stretch [start, end) of a text and its ids: Words at both ends, plain ids between."""
+    def __init__(self, pre_tokenizer):
+        self.classes = Classes(pre_tokenizer.pre_tokenize_str)
+        self.classes.update({i: i for i in range(0x250) if not LATIN.match(chr(i))})
 
-    __slots__ = ("end", "parts", "start")
+    def __call__(self, text: str) -> list[str]:
+        if not LATIN.search(text):
+            return PIECES.findall(text)
+        return [text[a:b] for a, b in (m.span() for m in PIECES.finditer(text.translate(self.classes)))]
 
-    def __init__(self, start: int, end: int, parts: list):
-        self.start, self.end = start, end
-        self.parts = [p if isinstance(p, bytes) or i in (0, len(parts) - 1) else p.ids() for i, p in enumerate(parts)]
 
-    def ids(self) -> bytes:
-        return b"".join(p if isinstance(p, bytes) else p.ids() for p in self.parts)
+class Words(dict):
+    """Word -> ids as little-endian bytes. At most `most` words are kept; longer words than `longest` are not."""
 
+    def __init__(self, model, most: int = 120_000, longest: int = 64):
+        super().__init__()
+        self.tokenize, self.most, self.longest = model.tokenize, most, longest
+        self.alphabet = str.maketrans(byte_characters())
 
-class Join:
-    """Two neighbouring sides and the window between them, `n` words of each."""
+    def __missing__(self, word: str) -> bytes:
+        found = packed([t.id for t in self.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))])
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
 
-    __slots__ = ("left", "n", "right", "text")
 
-    def __init__(self, text: str, left: Side, right: Side):
-        self.text, self.left, self.right, self.n = text, left, right, 2
+class Side:
+    """A stretch [start, end) of a text, encoded by itself: its first and last words as lists, plain ids between."""
 
-    def taken(self) -> tuple[int, int]:
-        """First word of the left side in the window and the one behind the last of the right side; -1 where the window takes the whole side."""
-        a, b = self.left.parts[-1], self.right.parts[0]
-        return (a.hi - self.n if len(a) >= self.n else -1), (b.lo + self.n if len(b) >= self.n else -1)
+    __slots__ = ("end", "first", "ids", "last", "start")
 
-    def window(self) -> tuple[int, int]:
-        i, j = self.taken()
-        return (self.left.start if i < 0 else self.left.parts[-1].span(i)[0]), (self.right.end if j < 0 else self.right.parts[0].span(j - 1)[1])
+    def __init__(self, start: int, end: int, first: list[str], ids: list[bytes] | None = None, last: list[str] | None = None):
+        self.start, self.end, self.first, self.ids, self.last = start, end, first, ids, last  # one list of words only: first, with ids and last None
 
-    def joined(self, got) -> Side | None:
-        """The two as one side, if the window's encoding agrees with both."""
-        (i, j), (start, end) = self.taken(), self.window()
-        new = Words(got, start)
-        a, b = self.left.parts[-1], self.right.parts[0]
-        if (i >= 0 and (not len(new) or new.span(0) != a.span(i))) or (j >= 0 and (not len(new) or new.span(new.hi - 1) != b.span(j - 1))):
-            return None
-        before = [] if i < 0 else [*self.left.parts[:-1], Words(a.of, a.base, a.lo, i)]
-        behind = [] if j < 0 else [Words(b.of, b.base, j, b.hi), *self.right.parts[1:]]
-        return Side(self.left.start, self.right.end, [p for p in before if len(p)] + [new] + [p for p in behind if len(p)])
+    @property
+    def tail(self) -> list[str]:
+        return self.first if self.last is None else self.last
 
 
 class Bpe:
-    def __init__(self, path: str, leaf: int = LEAF, block: int = BLOCK):
+    def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -119,87 +124,99 @@ class Bpe:
         library.no_padding()
         normal, split = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
-        known = [n["type"] for n in normal.get("normalizers", [])] == NORMAL and split[0].get("pattern", {}).get("Regex") == SPLIT and plain
+        #: Whether the file has the scheme that the agreement is proved for.
+        self.known = ([n["type"] for n in normal.get("normalizers", [])] == NORMAL and split[0].get("pattern", {}).get("Regex") == SPLIT and plain and spec.get("decoder") is None)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.special_ids = {t: packed([i]) for t, i in special.items()}
         self.tokens = [""] * library.get_vocab_size(True)
         for t, i in library.get_vocab(True).items():
             self.tokens[i] = t
-        self.spaced = spec.get("decoder") is None  # without a decoder the tokens are joined by spaces
-        self.normal, self.leaf, self.block, self.joins = library.normalizer, leaf, block, 0
-        self.library = None if known and self.spaced else library
-        self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None})) if known else None
+        self.library, self.leaf, self.joins = library, leaf, 0
+        if self.known:
+            self.split, self.words = Splitter(library.pre_tokenizer), Words(library.model)
+
+    def normal(self, text: str) -> str:
+        """As the file says, but for the joining of white space, which no word holds. Python's tables are the library's within the Latin blocks."""
+        return unicodedata.normalize("NFC", text).lower() if not LATIN.search(text) and "İ" not in text else self.library.normalizer.normalize_str(text)
 
     def encode(self, text: str | None) -> bytes:
         """ids of the whole text as little-endian unsigned 32-bit integers."""
-        return self.encode_texts([text])[0]
+        if not self.known:
+            return packed(self.library.encode(text or "", add_special_tokens=False).ids)
+        if not text:
+            return b""
+        if not (self.special and "<|" in text):
+            return self.tree(self.normal(text))
+        # Special tokens are cut out first; what lies between is normalised by itself.
+        return b"".join(self.special_ids.get(part) or self.tree(self.normal(part)) for part in self.special.split(text) if part)
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        if self.bare is None:
-            return [packed(e.ids) for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        out: list[list] = []
-        plain: list[str] = []
-        for text in texts:  # special tokens are cut out first; what lies between is normalised by itself
-            parts = []
-            for part in self.special.split(text) if text and self.special else [text]:
-                if part and part in self.special_ids:
-                    parts.append(self.special_ids[part])
-                elif part and (normal := self.normal.normalize_str(part)):
-                    parts.append(len(plain))
-                    plain.append(normal)
-            out.append(parts)
-        found = self.trees(plain)
-        return [b"".join(p if isinstance(p, bytes) else found[p] for p in parts) for parts in out]
-
-    def trees(self, texts: list[str]) -> list[bytes]:
-        """ids of normalised texts: those of a block in one call, a text longer than a block by its stretches, whose sides are joined at the end."""
-        out, group, size = [b""] * len(texts), [], 0
-        for k, text in [*enumerate(texts), (-1, "")]:
-            if group and (k < 0 or size + len(text) > self.block):
-                for j, side in zip(group, self.merged([(texts[j], s) for j, s in zip(group, self.leaves([(texts[j], 0, len(texts[j])) for j in group]))])):
-                    out[j] = side.ids()
-                group, size = [], 0
-            if len(text) > self.block:
-                cut = [self.merged([(text, s) for s in self.leaves([(text, a, min(a + self.block, len(text)))])])[0] for a in range(0, len(text), self.block)]
-                out[k] = self.merged([(text, cut)])[0].ids()
-            elif k >= 0:
-                group.append(k)
-                size += len(text)
-        return out
-
-    def leaves(self, stretches: list[tuple[str, int, int]]) -> list[list[Side]]:
-        """The stretches' leaves, encoded in one parallel call."""
-        cuts = [[(t, a, min(a + self.leaf, end)) for a in range(start, end, self.leaf)] for t, start, end in stretches]
-        got = iter(self.bare.encode_batch([t[a:b] for c in cuts for t, a, b in c], add_special_tokens=False))
-        return [[Side(a, b, [Words(next(got), a)]) for _, a, b in c] for c in cuts]
-
-    def merged(self, items: list[tuple[str, list[Side]]]) -> list[Side]:
-        """Each item's sides as one, level by level; a level's windows are encoded in one parallel call, those that don't agree once more, grown."""
-        texts, rows = [t for t, _ in items], [s for _, s in items]
-        while any(len(r) > 1 for r in rows):
-            joins = [[Join(t, r[i], r[i + 1]) for i in range(0, len(r) - 1, 2)] for t, r in zip(texts, rows)]
-            todo, done = [j for js in joins for j in js], {}
-            self.joins += len(todo)
-            while todo:
-                cuts = [j.window() for j in todo]
-                got = self.bare.encode_batch([j.text[a:b] for j, (a, b) in zip(todo, cuts)], add_special_tokens=False)
-                again = []
-                for j, enc in zip(todo, got):
-                    side = j.joined(enc)
-                    if side is None:
-                        j.n *= 2
-                        again.append(j)
-                    else:
-                        done[id(j)] = side
-                todo = again
-            rows = [[done[id(j)] for j in js] + (r[-1:] if len(r) % 2 else []) for js, r in zip(joins, rows)]
-        return [r[0] for r in rows]
+        return [self.encode(t) for t in texts]
+
+    def tree(self, text: str) -> bytes:
+        """ids of a normalised text. A text longer than a block is taken in stretches, so that words are held for a block only."""
+        if len(text) <= self.leaf:
+            return self.plain(self.split(text))
+        return self.plainly(self.half(text, 0, len(text)))
+
+    def plain(self, words: list[str]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
+
+    def plainly(self, side: Side) -> bytes:
+        return b"".join([self.plain(side.first), *(side.ids or []), self.plain(side.last or [])])
+
+    def half(self, text: str, start: int, end: int) -> Side:
+        """The stretch as a side: a leaf, or its two halves joined."""
+        if end - start <= self.leaf:
+            return Side(start, end, self.split(text[start:end]))
+        middle = (start + end) // 2
+        return self.join(text, self.half(text, start, middle), self.half(text, middle, end))
+
+    def join(self, text: str, left: Side, right: Side) -> Side:
+        """The two as one side. The window has the last n words of the left and the first n of the right side, and grows until it agrees with both."""
+        self.joins += 1
+        a, b, n = left.tail, right.first, 2
+        while True:
+            i, j = max(0, len(a) - n), min(len(b), n)  # a side whose outer words are used up is taken whole
+            whole_left, whole_right = i == 0, j == len(b)
+            start, end = left.start if whole_left else backward(text, a[i:], left.end), right.end if whole_right else forward(text, b[:j], right.start)
+            got = self.split(text[start:end])
+            if (whole_left or (got and got[0] == a[i])) and (whole_right or (got and got[-1] == b[j - 1])):
+                break
+            n *= 2
+        before = [] if whole_left else [left.first, *(left.ids or []), left.last] if left.last is not None else [left.first]
+        if before:
+            before[-1] = a[:i]
+        behind = [] if whole_right else [right.first, *(right.ids or []), right.last] if right.last is not None else [right.first]
+        if behind:
+            behind[0] = b[j:]
+        parts = [*before, got, *behind]
+        if len(parts) == 1:
+            return Side(left.start, right.end, got)
+        # Words of the outer ends stay words, for the joins to come; those between become ids.
+        return Side(left.start, right.end, parts[0], [p if isinstance(p, bytes) else self.plain(p) for p in parts[1:-1]], parts[-1])
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
         got = np.frombuffer(ids, "<u4").tolist()
-        return " ".join(map(self.tokens.__getitem__, got)) if self.spaced else self.library.decode(got, skip_special_tokens=False)
+        if self.known:  # without a decoder the tokens are joined by spaces
+            return " ".join(map(self.tokens.__getitem__, got))
+        return self.library.decode(got, skip_special_tokens=False)
+
+
+def backward(text: str, words: list[str], end: int) -> int:
+    """Where the first of the words stands that end a stretch: only white space lies between them and behind them."""
+    for w in reversed(words):
+        end = text.rindex(w, 0, end)
+    return end
+
+
+def forward(text: str, words: list[str], start: int) -> int:
+    """Where the last of the words ends that a stretch begins with."""
+    for w in words:
+        start = text.index(w, start) + len(w)
+    return start
 
 
 KEPT: dict[str, Bpe] = {}

@@ -76,6 +76,26 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Keys that hold more than this share of all rows each are joined by broadcast: there can be no more of them than its inverse.
+HOT = 1 / 1024
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, total: int, share: float = HOT) -> DataFrame:
+    """rows joined with table(key, n, ...) on key, where the table has one row a key and n is how many of the `total` rows (an upper bound will do) have it. Keys with more
+    than `share` of them number 1 / share at most, which bounds what is broadcast; all others are too small to load one task."""
+    hot = table.where(F.col("n") > max(total * share, 16.0))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def dealt(pairs: DataFrame, key: str, total: int, share: float = HOT) -> tuple[DataFrame, DataFrame]:
+    """pairs with a column `part`, by which the rows of a key with more than `share` of all are dealt over several, and (key, part) of every part that occurs."""
+    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    most = max(total * share, 16.0)
+    hot = counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))  # 1 / share rows at most
+    out = pairs.join(F.broadcast(hot), key, "left").withColumn("part", F.pmod(F.hash(*pairs.columns), F.coalesce("parts", F.lit(1)))).drop("parts")
+    return out, out.select(key, "part").distinct()
+
 
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, or with underscores before it if the table has such a column."""

@@ -4,15 +4,18 @@ Pass 1 (one read of the texts) makes a small signature a document: set size, 128
 a bitmap whose bit hash(i, m_i) is flipped for each MinHash sample m_i. Two sketches differ where samples differ, so the population count of their XOR
 bounds the number of unequal samples and with it the similarity.
 
-Equal sets are one class, held by its smallest id, from the first: thousands of copies cost one row each. Between class representatives, in rounds:
-  1. in each band bucket that still holds several components, every member is paired with a few pivots of other components (one at first, more later; n pairs
-     a pivot, not n^2 / 2), pairs that pass the size bound and the sketch bound are confirmed on full shingle sets, and the links' components are found;
-  2. what then remains is done exactly: members outside a bucket's largest component are compared with all members of other components, in salted blocks, by
-     size and sketch inside the join, and by the sets themselves where both are small; of large ones, what passes is confirmed as before. Then the
-     components are found anew.
-Pairs inside one component need no test, as they can't change it. Buckets have no cap. With 64 bands of 6, a pair at 0.8 shares no bucket with
-probability (1 - 0.8^6)^64 = 4e-9, and the sketch bound (five standard deviations of the unequal samples at 0.8, three of the bits that they set) loses about
-one in a million.
+Equal sets are one class, held by its smallest id, from the first: thousands of copies cost one row each. Between class representatives:
+  1. rounds of pivots: in each band bucket that still holds several components, one member is the pivot, first the one whose buckets are largest in sum, which
+     stands near the middle of a group; a member is paired with that pivot of another component that it shares most buckets with (one pair a member, however
+     large its buckets), pairs that pass the size bound and the sketch bound are confirmed on full shingle sets, and the links' components are found;
+  2. what then remains in buckets of several components is done exactly, by prefixes: with all shingles in one order, those fewest of the remaining documents
+     have first, two sets of this similarity share one among the first n - ceil(0.8 n) + 1 of each, and early enough. A passage that many documents share
+     stands late in that order and makes no pairs. Pairs within one component need no test, as they can't change it. The others pass the same three tests.
+Buckets have no cap. With 64 bands of 6, a pair at 0.8 shares no bucket with probability (1 - 0.8^6)^64 = 4e-9, and the sketch bound (five standard deviations of
+the unequal samples at 0.8, three of the bits that they set) loses about one in a million.
+
+Keys with many rows (a pivot, a node with many links, a frequent shingle) are found by counts and dealt over several tasks or joined by broadcast, of which
+there can be only as many as their share of the rows allows (`common.met`, `common.dealt`).
 
 Defined cases: null or empty text, or text of white space only: no shingles, linked with nothing; fewer words than the shingle length: the whole sequence
 is the one shingle; rows with one id are one node; rows without an id link nothing themselves, but show the class of their text (kept only if no row
@@ -27,15 +30,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, blocks, bounded, dealt, met, read_table
 from .components import extended
 
 BANDS, ROWS, SKETCH_WORDS = 64, 6, 32
-PIVOTS = (1, 8)  # of a bucket in each round
-SMALL = 0  # sets up to this size would go along with the sketch, for the last join to decide on itself; at 192 check_h took too long, so none do
+ROUNDS = 2  # of pivots, first by reach, then by hash; what they leave open is done exactly, however many there are
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -49,22 +51,19 @@ class WordHashes(dict):
     """Word -> 64-bit hash, forgotten when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-WORDS = WordHashes()
-
-
-def shingle_set(text: str | None, k: int) -> np.ndarray:
+def shingle_set(text: str | None, k: int, table: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; bytes.split() splits at exactly the six white-space bytes of the contract, bytes.lower() at A-Z."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     n = len(words)
     if n == 0:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map((WordHashes() if table is None else table).__getitem__, words), np.uint64, n)
     if n < k:
         k = n
     acc = np.full(n - k + 1, k, np.uint64)
@@ -115,36 +114,33 @@ def sketch_bound(similarity: float, samples: int = BANDS * ROWS, bits: int = 64
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, digest, bands, sketch, small (the set itself, if it is small)."""
+    """docs(doc_id, text) -> doc_id, n_shingles, digest, bands, sketch."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        for batch in batches:
-            n, digest, bands, sketch, small = [], [], [], [], []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py(), k)
+        table = WordHashes()
+        for batch, texts in blocks(batches):
+            n, digest, bands, sketch = [], [], [], []
+            for text in texts:
+                s = shingle_set(text, k, table)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                small.append(s.view(np.int64) if 0 < len(s) <= SMALL else None)
-                if len(s):
-                    low = minhashes(s)
-                    bands.append(band_keys(low))
-                    sketch.append(odd_sketch(low))
-                else:
-                    bands.append(None)
-                    sketch.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n_shingles", "digest", "bands", "sketch", "small"])
+                low = minhashes(s) if len(s) else None
+                bands.append(None if low is None else band_keys(low))
+                sketch.append(None if low is None else odd_sketch(low))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                                              pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, small array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), k).view(np.int64) for t in batch.column("text")]
+        table = WordHashes()
+        for batch, texts in blocks(batches):
+            sets = [shingle_set(t, k, table).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return docs.mapInArrow(run, f"id {kind.simpleString()}, shingles array<bigint>")
@@ -158,12 +154,13 @@ def alike(percent: int, bound: int):
 
 
 class Sets:
-    """Full shingle sets of the documents that some candidate pair needs, each made once."""
+    """Full shingle sets of the documents that some candidate pair needs, each made once. A row without an id has none, and of rows with one id the first set does."""
 
     def __init__(self, docs: DataFrame, k: int, scratch: Scratch):
         self.docs, self.k, self.scratch, self.made = docs, k, scratch, None
 
     def of(self, ids: DataFrame) -> DataFrame:
+        """Sets of the ids and perhaps others."""
         if self.made is not None:
             ids = self.scratch.cut(ids.join(self.made.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "ids")
             if ids.isEmpty():
@@ -173,35 +170,106 @@ class Sets:
         return self.made
 
 
-def confirmed(pairs: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
-    """Of pairs(a, b), those with 100 * intersection >= percent * union of the full shingle sets."""
-    full = sets.of(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    x, y = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
-    return scratch.cut(links, "confirmed")
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int, bound: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Of pairs(a, b), those that sizes and sketches allow, and their number. The rows of a hot `a` are dealt over several tasks, with its sketch in each."""
+    pairs, total = counted(pairs.distinct(), "pairs", scratch)
+    parted, parts = dealt(pairs, "a", total)
+    x = parts.join(sketches.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x")), "a")
+    y = sketches.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y"))
+    out, n = counted(parted.join(y, "b").join(x, ["a", "part"]).where(alike(percent, bound)).select("a", "b"), "likely", scratch)
+    scratch.drop(pairs)
+    return out, n
 
 
-def opened(members: DataFrame, comp: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """members(key, id) -> key, id, comp of the buckets that hold several components, with main (the bucket's largest component) and members."""
-    m = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    share = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = share.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return scratch.cut(m.join(mixed.select("key", "main", "members"), "key"), "open")
+def counted(df: DataFrame, name: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The table written, and its number of rows."""
+    seen = Observation()
+    out = scratch.cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get.get("n") or 0
 
 
-def pivot_pairs(open_: DataFrame, n: int, turn: int) -> DataFrame:
-    """Each member with n pivots of its bucket, where their components differ. Pivots are the smallest by a hash of the id, another for each turn and place, so
-    that a group's buckets choose the same ones."""
-    h = [F.xxhash64("id", F.lit(turn * 100 + j)) for j in range(n)]
-    chosen = open_.groupBy("key").agg(*[F.min_by("id", h[j]).alias(f"p{j}") for j in range(n)], *[F.min_by("comp", h[j]).alias(f"c{j}") for j in range(n)])
-    pivots = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{j}").alias("id"), F.col(f"c{j}").alias("comp")) for j in range(n)])))
-    met = open_.join(chosen, "key").select("id", "comp", pivots.alias("p")).where("comp != p.comp")
-    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+def confirmed(pairs: DataFrame, total: int, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
+    """Of pairs(a, b), those with 100 * intersection >= percent * union of the full shingle sets. The set of `a` is shipped once a block of its pairs, that of `b` once a
+    pair; a task holds one block's `a` and streams the others by."""
+    if not total:
+        return pairs
+    full = sets.of(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    parted, parts = dealt(pairs, "a", total)
+    one = parts.join(full.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "shingles")
+    many = parted.join(full.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "shingles")
+    met = one.unionByName(many).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        key, held = None, None
+        for batch in batches:
+            a, part, b = (batch.column(c).to_pylist() for c in ("a", "part", "b"))
+            values, ends = batch.column("shingles").values.to_numpy(), batch.column("shingles").offsets.to_numpy()
+            keep = []
+            for i in range(len(a)):
+                s = values[ends[i] : ends[i + 1]].view(np.uint64)
+                if b[i] is None:
+                    key, held = (a[i], part[i]), s.copy()
+                elif key == (a[i], part[i]):
+                    both = len(s) + len(held) - len(np.union1d(s, held))
+                    if 100 * both >= percent * (len(s) + len(held) - both):
+                        keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
+
+    return scratch.cut(met.mapInArrow(run, f"a {kind}, b {kind}").distinct(), "confirmed")
+
+
+def opened(members: DataFrame, comp: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """members(key, id, reach) -> key, id, reach, comp of the buckets that hold several components."""
+    m = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("key", "id", "reach", F.coalesce("comp", "id").alias("comp"))
+    mixed = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("key", "n")
+    m, total = counted(m, "marked", scratch)
+    out = scratch.cut(met(m, mixed, "key", total).select("key", "id", "reach", "comp"), "open")
+    scratch.drop(m)
+    return out
+
+
+def pivot_pairs(open_: DataFrame, rank: Column) -> DataFrame:
+    """(a, b): each member b with the pivot a, of another component, that it shares most buckets with. A bucket's pivot is its member of the lowest rank; ranks are the same in
+    all buckets, so a group's buckets choose the same ones."""
+    chosen = open_.groupBy("key").agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("p"), F.col("comp").alias("c"))).alias("pivot"), F.count(F.lit(1)).alias("n"))
+    pairs = met(open_, chosen, "key", open_.count()).where("comp != pivot.c").groupBy("id", "pivot.p", "pivot.h").agg(F.count(F.lit(1)).alias("times"))
+    best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("times")).alias("t"), "h", "p")).alias("best"))
+    return best.select(F.col("best.p").alias("a"), F.col("id").alias("b"))
+
+
+def prefix_pairs(nodes: DataFrame, full: DataFrame, percent: int, scratch: Scratch, hot: int = 1 << 16) -> DataFrame:
+    """(a, b) of nodes(id, comp) in different components that share a shingle of both prefixes at places that allow the similarity.
+
+    The order is by the number of nodes that have a shingle, so shingles of one node never make a pair and only count as places. Shingles with more than 1 / `hot` of all
+    rows, `hot` of them at most, are joined by broadcast, and so is nothing else. Within a prefix shingle, members outside its largest component meet the others in salted blocks."""
+    own = full.join(nodes.select("id"), "id", "left_semi").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh"))
+    counts = own.groupBy("sh").agg(F.count(F.lit(1)).alias("n"))
+    sums = Observation()
+    counts = scratch.cut(counts.observe(sums, F.sum("n").alias("total")).where("n > 1"), "counts")
+    total = sums.get.get("total") or 0
+    rows = met(own.withColumnRenamed("n", "size"), counts, "sh", total, 1 / hot)
+    listed = rows.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "sh"))).alias("l"))  # a document's own shingles
+    alone = F.col("size") - F.size("l")
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
+    # What of the set stands from this place on bounds the intersection, if this is the first shingle that the two share.
+    places = F.transform(F.slice("l", F.lit(1), F.col("first")), lambda x, i: F.struct(x["sh"].alias("sh"), (F.col("size") - alone - i).alias("left")))
+    prefix = listed.withColumn("first", first.cast("int")).where("first > 0").select("id", "size", F.explode(places).alias("p"))
+    prefix = scratch.cut(prefix.join(nodes, "id").select(F.col("p.sh").alias("sh"), F.col("p.left").alias("left"), "id", "size", "comp"), "prefixes")
+    groups = prefix.groupBy("sh", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("sh").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    groups = scratch.cut(groups.where("parts > 1").select("sh", "main", "n"), "groups")
+    left = met(prefix, groups, "sh", prefix.count()).withColumn("salts", F.ceil(F.col("n") / 256).cast("int"))
+    few = left.where("comp != main").select("sh", F.struct("id", "left", "size", "comp").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    many = left.select("sh", "main", F.struct("id", "left", "size", "comp").alias("y"), F.pmod(F.hash("id"), "salts").alias("salt"))
+    once = (F.col("y.comp") == F.col("main")) | (F.col("x.id") < F.col("y.id"))  # two outsiders meet twice
+    fits = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.size") + F.col("y.size"))
+    pairs = few.join(many, ["sh", "salt"]).where((F.col("x.comp") != F.col("y.comp")) & once & fits)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
+    bounded(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sig = scratch.cut(signatures(docs, k), "signatures")
@@ -209,33 +277,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = scratch.cut(sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     held = sig.where("n_shingles > 0").join(classes, (sig.digest == classes.digest) & (sig.doc_id == classes.rep), "left_semi")
     buckets = held.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    sketches = scratch.cut(held.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "small"), "sketches")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = scratch.cut(buckets.join(shared, "key"), "members")
-    x = sketches.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x"))
-    y = sketches.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y"))
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = scratch.cut(met(buckets, shared, "key", BANDS * classes.count()), "members")
+    reach = members.groupBy("id").agg((-F.sum("n")).alias("reach"))  # documents near a group's middle share large buckets, and many of them
+    members = scratch.cut(members.select("key", "id").join(reach, "id"), "reach")
+    sketches = scratch.cut(held.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").join(members.select("id").distinct(), "id", "left_semi"), "sketches")
 
     comp = None
-    for turn, n in enumerate(PIVOTS):
+    for turn in range(ROUNDS):
         open_ = opened(members, comp, scratch)
-        likely = scratch.cut(pivot_pairs(open_, n, turn).join(x, "a").join(y, "b").where(alike(percent, bound)).select("a", "b").distinct(), "pairs")
-        new = confirmed(likely, sets, percent, scratch)
-        scratch.drop(open_, likely)
-        comp = extended(comp, new, scratch)
+        pairs, n = likely(pivot_pairs(open_, F.xxhash64("id", F.lit(turn)) if turn % 2 else F.col("reach")), sketches, percent, bound, scratch)
+        comp = extended(comp, confirmed(pairs, n, sets, percent, scratch), scratch)
+        scratch.drop(open_, pairs)
 
     open_ = opened(members, comp, scratch)
-    left = open_.join(sketches, "id").withColumn("salts", F.ceil(F.col("members") / 2048).cast("int"))
-    few = left.where("comp != main").select("key", "comp", F.struct("id", "n", "sketch", "small").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    many = left.select("key", F.col("comp").alias("comp_y"), F.col("main"), F.struct("id", "n", "sketch", "small").alias("y"), F.pmod(F.hash("id"), "salts").alias("salt"))
-    once = (F.col("comp_y") == F.col("main")) | (F.col("x.id") < F.col("y.id"))  # two outsiders meet twice
-    sure, both = F.col("x.small").isNotNull() & F.col("y.small").isNotNull(), F.size(F.array_intersect("x.small", "y.small"))
-    exact = F.when(sure, 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)).otherwise(True)
-    more = (few.join(many, ["key", "salt"]).where((F.col("comp") != F.col("comp_y")) & once & alike(percent, bound) & exact)
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), sure.alias("sure")).distinct())
-    more = scratch.cut(more, "more")
-    if not more.isEmpty():
-        found = confirmed(more.where("not sure").select("a", "b"), sets, percent, scratch)
-        comp = extended(comp, more.where("sure").select("a", "b").unionByName(found), scratch)
+    nodes = scratch.cut(open_.select("id", "comp").distinct(), "nodes")
+    scratch.drop(open_, members)
+    full = sets.of(nodes.select(F.col("id").alias("doc_id")))
+    pairs, n = likely(prefix_pairs(nodes, full, percent, scratch), sketches, percent, bound, scratch)
+    comp = extended(comp, confirmed(pairs, n, sets, percent, scratch), scratch)
     of_class = classes.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     out = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("comp", "doc_id")

@@ -94,3 +94,22 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     assert {r["id"]: r["comp"] for r in components(df, Scratch(spark, "test")).collect()} == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark, "test")).count() == 0
+
+
+def test_groups_of_similar_texts_make_few_pairs(spark, monkeypatch):
+    """A passage that is most of 400 texts, and 300 edited copies of one text: pairs to confirm stay near the number of texts, and no link is lost."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    passage, base = [r.choice(words) for _ in range(80)], [r.choice(words) for _ in range(90)]
+    rows = [(i, " ".join(passage + [r.choice(words) for _ in range(r.choice([10, 25, 40]))])) for i in range(400)]
+    for i in range(400, 700):
+        copy = list(base)
+        for _ in range(r.randint(0, 4)):
+            copy[r.randrange(90)] = r.choice(words)
+        rows.append((i, " ".join(copy)))
+    seen = []
+    was = neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, total, *more: (seen.append(total), was(pairs, total, *more))[1])
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=4).collect()}
+    assert got == brute(rows, 4)
+    assert sum(seen) < 4 * len(rows)

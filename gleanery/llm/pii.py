@@ -2,15 +2,15 @@
 
 Rules give the base spans (email, ip, card, phone), which always stay. Generators propose further, overlapping spans: written-out emails, telephone numbers
 in bounded forms (also inside a rule's match that failed for its length), card numbers beside other numbers, IPv6, credentials, and national and bank
-numbers. Each proposal gets features of its form and of its context; boosted trees score it, a calibrated threshold for each kind selects, and of
-overlapping proposals the better one stays. Proposals that overlap base spans go.
+numbers. Each proposal gets features of its form and of its context; boosted trees score it and a calibrated threshold for each kind selects. Proposals that
+overlap base spans go; of the others, taken in order of start, one that meets the last that stayed takes its place if it scores higher, or else goes.
 
 The trees are fitted in each process from a fixture that this module makes (no corpus rows): its texts run through the same column expressions.
 Positions come from the gaps between matches: split() gives them, their lengths are prefix-summed in blocks of 64, so cost grows with the text, not with its
 square. Everything happens inside the row: there is no exchange, and a row's result depends on its text alone.
 
 Defined cases: null and empty text have no spans; a run of any length is matched without recursion (possessive quantifiers); repeated rows give equal rows;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns stay as they are, and a column of the result's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .boosting import boost, expression, margin
 from .common import free_name, read_table
 
 KINDS = ["email", "ip", "card", "phone", "secret", "iban", "ssn"]
-BLOCK = 64
+BLOCK, CHUNK, PIECE = 64, 256, 4096  # matches whose lengths are summed at once, spans of a sweep's inner pass, characters of a text cut at once
 
 # Rules. A start is the match's leftmost: the begin of a run, or where the last match ended (\G).
 RULES = {
@@ -239,6 +239,62 @@ def span(c: Column, kind: Column) -> Column:
     return F.struct(c["at"].alias("at"), (F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1).cast("int").alias("rank"), c["upto"].alias("upto"), kind.alias("kind"))
 
 
+def swept(items: Column, state: Column, follow, emit, out: str) -> Column:
+    """One pass over an array: struct(state, out). At each item, `emit(state, item)` (an array of type `out`) is put out, then the state becomes follow(state, item). Items go in
+    chunks of CHUNK, so that putting out copies a chunk's array at most, and the cost grows with the items, not with their square."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
+    none = F.array().cast(out)
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(follow(acc["state"], x).alias("state"), F.concat(acc["out"], emit(acc["state"], x)).alias("out"))
+
+    def chunk(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["state"].alias("state"), none.alias("out")), step)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    all_ = F.aggregate(chunks, F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out")), chunk)
+    return let(F.when(F.size(items) > 0, all_), lambda a: F.struct(F.coalesce(a["state"], state).alias("state"), F.coalesce(F.flatten(a["out"]), none).alias("out")))
+
+
+SCORED = "struct<z:double,span:struct<at:int,rank:int,upto:int,kind:string>>"
+ORDERED = f"struct<at:int,free:boolean,item:{SCORED}>"
+
+
+def clear(base: Column, free: Column) -> Column:
+    """Those of `free` (array of SCORED) that meet no base span: a pass in order of start keeps what no earlier base span reaches into, a pass back what no later one
+    starts in. Sorted by start, base spans first."""
+    both = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b["at"].alias("at"), F.lit(False).alias("free"), F.struct(F.lit(0.0).alias("z"), b.alias("span")).alias("item"))),
+                                 F.transform(free, lambda s: F.struct(s["span"]["at"].alias("at"), F.lit(True).alias("free"), s.alias("item")))).cast(f"array<{ORDERED}>"))
+    none = F.array().cast(f"array<{ORDERED}>")
+    upto = lambda x: x["item"]["span"]["upto"]
+    ahead = swept(both, F.lit(0), lambda reach, x: F.when(x["free"], reach).otherwise(F.greatest(reach, upto(x))), lambda reach, x: F.when(~x["free"] | (reach <= x["at"]), F.array(x)).otherwise(none), f"array<{ORDERED}>")
+    back = let(F.reverse(ahead["out"]), lambda xs: swept(xs, F.lit(2**31 - 1), lambda start, x: F.when(x["free"], start).otherwise(x["at"]),
+                                                         lambda start, x: F.when(x["free"] & (start >= upto(x)), F.array(x)).otherwise(none), f"array<{ORDERED}>"))
+    return F.transform(F.reverse(back["out"]), lambda x: x["item"])
+
+
+def best(items: Column) -> Column:
+    """Of spans (array of SCORED) in order of start, as an array of SPAN: one pass that holds a span; the next one that meets it takes its place if it scores higher, or
+    goes; one that does not meet it is held next."""
+    better = lambda a, b: (a["z"] > b["z"])  # noqa: E731  of equal scores the earlier one stays
+    meets = lambda held, x: held.isNotNull() & (x["span"]["at"] < held["span"]["upto"])
+    done = let(F.array_sort(F.transform(items, lambda s: F.struct(s["span"]["at"].alias("at"), s["span"]["rank"].alias("rank"), s.alias("s")))), lambda xs: swept(
+        F.transform(xs, lambda x: x["s"]), F.lit(None).cast(SCORED), lambda held, x: F.when(meets(held, x) & ~better(x, held), held).otherwise(x),
+        lambda held, x: F.when(held.isNull() | meets(held, x), F.array().cast(SPAN)).otherwise(F.array(held["span"])), SPAN))
+    return let(done, lambda d: F.when(d["state"].isNull(), d["out"]).otherwise(F.concat(d["out"], F.array(d["state"]["span"]))))
+
+
+def stretches(spans: Column) -> Column:
+    """Maximal stretches of overlapping spans in order of start, with the kind of their first: a span opens one unless an earlier span reaches beyond its start."""
+    one = "struct<at:int,upto:int,kind:string>"
+    wide = lambda held, x: F.struct(held["at"].alias("at"), F.greatest(held["upto"], x["upto"]).alias("upto"), held["kind"].alias("kind")).cast(one)
+    own = lambda x: F.struct(x["at"].alias("at"), x["upto"].alias("upto"), x["kind"].alias("kind")).cast(one)
+    joins = lambda held, x: held.isNotNull() & (held["upto"] > x["at"])
+    done = swept(spans, F.lit(None).cast(one), lambda held, x: F.when(joins(held, x), wide(held, x)).otherwise(own(x)),
+                 lambda held, x: F.when(held.isNull() | joins(held, x), F.array().cast(f"array<{one}>")).otherwise(F.array(held)), f"array<{one}>")
+    return let(done, lambda d: F.when(d["state"].isNull(), d["out"]).otherwise(F.concat(d["out"], F.array(d["state"]))))
+
+
 def find(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFrame:
     """docs with a further column `into`: struct(base, spans), both arrays of struct(at, rank, upto, kind) in order of start and listed kind."""
     bias, trees, limits = model(docs.sparkSession)
@@ -257,11 +313,9 @@ def find(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFram
         return F.struct((z - limit_of(kind_of(c))).alias("z"), span(c, kind_of(c)).alias("span"))
 
     def chosen(base: Column, props: Column) -> Column:
-        """The proposals that stay: likely, clear of base spans, and not met by a better one."""
-        meet = lambda a, b: (a["at"] < b["upto"]) & (b["at"] < a["upto"])
-        better = lambda a, b: (a["z"] > b["z"]) | ((a["z"] == b["z"]) & (F.struct(a["span"]["at"], a["span"]["rank"]) < F.struct(b["span"]["at"], b["span"]["rank"])))
-        clear = F.filter(F.filter(F.transform(props, scored), lambda s: s["z"] >= 0), lambda s: ~F.exists(base, lambda b: meet(s["span"], b)))
-        return let(clear, lambda free: F.transform(F.filter(free, lambda s: ~F.exists(free, lambda o: meet(s["span"], o["span"]) & better(o, s))), lambda s: s["span"]))
+        """The proposals that stay: likely, clear of base spans, and the better one of those that meet."""
+        sure = F.filter(F.transform(props, scored), lambda s: s["z"] >= 0)
+        return let(sure, lambda free: F.when(F.size(free) > 0, best(clear(base, free))).otherwise(F.array().cast(SPAN)))
 
     def result(found: Column) -> Column:
         base = F.array_sort(F.transform(F.filter(found, lambda c: c["name"].isin(*RULES) & holds(c)), lambda c: span(c, c["name"])))
@@ -278,23 +332,27 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets; overlapping spans are replaced once, by the first of them."""
+    """docs with every span replaced by its kind in angle brackets; overlapping spans are replaced once, by the first of them. Texts are cut in blocks of PIECE characters,
+    since each cut reads a string from its begin."""
     found, held = free_name(docs, "_pii"), free_name(docs, "_cuts")
     df = find(docs, text_col, found)
-    spans = F.col(found)["spans"]
-    # Maximal stretches: a span opens one unless an earlier span reaches beyond its start.
-    reach = F.aggregate(spans, F.array().cast("array<struct<at:int,upto:int,kind:string>>"), lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["upto"] > s["at"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["at"].alias("at"), F.greatest(F.try_element_at(acc, F.lit(-1))["upto"], s["upto"]).alias("upto"), F.try_element_at(acc, F.lit(-1))["kind"].alias("kind")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(s["at"].alias("at"), s["upto"].alias("upto"), s["kind"].alias("kind"))))))
-    df = df.withColumn(held, F.when(F.size(spans) > 0, reach))
+    df = df.withColumn(held, F.when(F.size(F.col(found)["spans"]) > 0, stretches(F.col(found)["spans"])))
     cuts, text = F.col(held), F.col(text_col)
-    upto = lambda i: F.when(i == 1, 0).otherwise(F.try_element_at(cuts, i - 1)["upto"])
-    pieces = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda i: F.concat(F.substring(text, upto(i) + 1, F.element_at(cuts, i)["at"] - upto(i)), F.lit("<"), F.upper(F.element_at(cuts, i)["kind"]), F.lit(">")))
-    last = F.element_at(cuts, -1)["upto"]
-    tail = F.substring(text, last + 1, F.length(text))
-    new = F.when(F.size(cuts) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
-    return df.withColumn(text_col, new).select(*docs.columns)
+
+    def block(k: Column) -> Column:
+        lo, hi = k * PIECE, (k + 1) * PIECE
+        return let(F.substring(text, lo + 1, F.lit(PIECE)), lambda part: let(F.filter(cuts, lambda c: (c["at"] < hi) & (c["upto"] > lo)), lambda own: cut(part, own, lo)))
+
+    def cut(part: Column, own: Column, lo: Column) -> Column:
+        upto = lambda i: F.when(i == 1, lo).otherwise(F.greatest(lo, F.try_element_at(own, i - 1)["upto"])) - lo
+        at = lambda i: F.greatest(lo, F.element_at(own, i)["at"]) - lo
+        mark = lambda c: F.when(c["at"] >= lo, F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise(F.lit(""))
+        pieces = F.transform(F.sequence(F.lit(1), F.size(own)), lambda i: F.concat(F.substring(part, upto(i) + 1, at(i) - upto(i)), mark(F.element_at(own, i))))
+        tail = F.substring(part, F.greatest(lo, F.element_at(own, -1)["upto"]) - lo + 1, F.lit(PIECE))
+        return F.when(F.size(own) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(part)
+
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / PIECE).cast("int")), block), "")
+    return df.withColumn(text_col, F.when(F.size(cuts) > 0, whole).otherwise(text)).select(*docs.columns)
 
 
 def op9_pii(spark, sf_dir):

@@ -93,3 +93,62 @@ def test_redact(spark):
 
 def test_pii_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_spans_chosen(spark):
+    """The sweeps against brute force: clear of base spans, the better of those that meet; stretches of overlapping spans."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    kind = "struct<at:int,rank:int,upto:int,kind:string>"
+    rows, want = [], []
+    for n in range(60):
+        size = r.choice([0, 1, 3, 30, 700])
+        make = lambda most, size=size: (a := r.randrange(0, 12 * size + 4), 0, a + r.randint(1, most), "x")
+        base = sorted(make(9) for _ in range(size // 3))
+        free = [(float(r.randrange(5)), make(14)) for _ in range(size)]
+        rows.append((n, base, free))
+        left = sorted([(s[0], s[1], z, s) for z, s in free if not any(b[0] < s[2] and s[0] < b[2] for b in base)], key=lambda x: (x[0], x[1], x[2], x[3]))
+        kept = []
+        for _, _, z, s in left:
+            if kept and s[0] < kept[-1][1][2]:
+                if z > kept[-1][0]:
+                    kept[-1] = (z, s)
+            else:
+                kept.append((z, s))
+        joined = []
+        for b in base:
+            if joined and joined[-1][1] > b[0]:
+                joined[-1] = (joined[-1][0], max(joined[-1][1], b[2]))
+            else:
+                joined.append((b[0], b[2]))
+        want.append(([tuple(s) for _, s in kept], joined))
+    df = spark.createDataFrame(rows, f"n int, base array<{kind}>, free array<struct<z:double,span:{kind}>>")
+    got = df.select("n", pii.best(pii.clear(F.col("base"), F.col("free"))).alias("best"), pii.stretches(F.col("base")).alias("joined")).orderBy("n").collect()
+    assert [([tuple(s) for s in x["best"]], [(s["at"], s["upto"]) for s in x["joined"]]) for x in got] == want
+
+
+def test_many_spans_in_one_text(spark):
+    """Cost grows with a text's spans, not with their square; redaction cuts at every span, over the borders of blocks."""
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"write a{i}@mail.example.org or (555) 123-{i % 10000:04d} now" for i in range(n // 2))
+        at = time.time()
+        got = pii.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()[0]["text"]
+        took.append(time.time() - at)
+        assert got.count("<EMAIL>") == n // 2 and "@" not in got and got.startswith("write <EMAIL> or ")
+        assert got.count("<PHONE>") in (0, n // 2)
+    assert took[1] < 30 * max(took[0], 0.5)
+
+
+def test_pii_rows(spark):
+    """Null, empty, repeated rows; a column of the result's name."""
+    rows = [(1, None, "x"), (2, "", "x"), (3, "mail a@b.co", "x"), (3, "mail a@b.co", "x"), (None, "no data", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, pii string")
+    got = sorted((str(r["doc_id"]), [s["kind"] for s in r["pii"]["spans"]]) for r in pii.find(df).collect())
+    assert got == [("1", []), ("2", []), ("3", ["email"]), ("3", ["email"]), ("None", [])]
+    assert sorted(str(r["text"]) for r in pii.redact(df).collect()) == ["", "None", "mail <EMAIL>", "mail <EMAIL>", "no data"]

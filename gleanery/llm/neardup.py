@@ -15,7 +15,8 @@ Buckets have no cap. With 64 bands of 6, a pair at 0.8 shares no bucket with pro
 the unequal samples at 0.8, three of the bits that they set) loses about one in a million.
 
 Keys with many rows (a pivot, a node with many links, a frequent shingle) are found by counts and dealt over several tasks or joined by broadcast, of which
-there can be only as many as their share of the rows allows (`common.met`, `common.dealt`).
+there can be only as many as their share of the rows allows (`common.met`, `common.dealt`). Joins by bucket are plain: rows there are narrow, nothing behind
+them needs their partitioning, and Spark splits a skewed bucket itself.
 
 Defined cases: null or empty text, or text of white space only: no shingles, linked with nothing; fewer words than the shingle length: the whole sequence
 is the one shingle; rows with one id are one node; rows without an id link nothing themselves, but show the class of their text (kept only if no row
@@ -222,18 +223,15 @@ def confirmed(pairs: DataFrame, total: int, sets: Sets, percent: int, scratch: S
 def opened(members: DataFrame, comp: DataFrame | None, scratch: Scratch) -> DataFrame:
     """members(key, id, reach) -> key, id, reach, comp of the buckets that hold several components."""
     m = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("key", "id", "reach", F.coalesce("comp", "id").alias("comp"))
-    mixed = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("key", "n")
-    m, total = counted(m, "marked", scratch)
-    out = scratch.cut(met(m, mixed, "key", total).select("key", "id", "reach", "comp"), "open")
-    scratch.drop(m)
-    return out
+    mixed = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    return scratch.cut(m.join(mixed.select("key"), "key").select("key", "id", "reach", "comp"), "open")
 
 
 def pivot_pairs(open_: DataFrame, rank: Column) -> DataFrame:
     """(a, b): each member b with the pivot a, of another component, that it shares most buckets with. A bucket's pivot is its member of the lowest rank; ranks are the same in
     all buckets, so a group's buckets choose the same ones."""
-    chosen = open_.groupBy("key").agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("p"), F.col("comp").alias("c"))).alias("pivot"), F.count(F.lit(1)).alias("n"))
-    pairs = met(open_, chosen, "key", open_.count()).where("comp != pivot.c").groupBy("id", "pivot.p", "pivot.h").agg(F.count(F.lit(1)).alias("times"))
+    chosen = open_.groupBy("key").agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("p"), F.col("comp").alias("c"))).alias("pivot"))
+    pairs = open_.join(chosen, "key").where("comp != pivot.c").groupBy("id", "pivot.p", "pivot.h").agg(F.count(F.lit(1)).alias("times"))
     best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("times")).alias("t"), "h", "p")).alias("best"))
     return best.select(F.col("best.p").alias("a"), F.col("id").alias("b"))
 
@@ -278,7 +276,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     held = sig.where("n_shingles > 0").join(classes, (sig.digest == classes.digest) & (sig.doc_id == classes.rep), "left_semi")
     buckets = held.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = scratch.cut(met(buckets, shared, "key", BANDS * classes.count()), "members")
+    members = scratch.cut(buckets.join(shared, "key"), "members")
     reach = members.groupBy("id").agg((-F.sum("n")).alias("reach"))  # documents near a group's middle share large buckets, and many of them
     members = scratch.cut(members.select("key", "id").join(reach, "id"), "reach")
     sketches = scratch.cut(held.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").join(members.select("id").distinct(), "id", "left_semi"), "sketches")

@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -84,17 +85,21 @@ class Splitter:
 
 
 class Words(dict):
-    """Word -> ids as little-endian bytes. At most `most` words are kept; longer words than `longest` are not."""
+    """Word -> ids as little-endian bytes. Of the words met last, at least `most` are kept and at most twice as many; words longer than `longest` are not."""
 
     def __init__(self, model, most: int = 120_000, longest: int = 64):
         super().__init__()
-        self.tokenize, self.most, self.longest = model.tokenize, most, longest
+        self.tokenize, self.most, self.longest, self.old = model.tokenize, most, longest, {}
         self.alphabet = str.maketrans(byte_characters())
 
     def __missing__(self, word: str) -> bytes:
-        found = packed([t.id for t in self.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))])
+        found = self.old.get(word)
+        if found is None:
+            ids = [t.id for t in self.tokenize(word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.alphabet))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found

@@ -15,7 +15,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,22 +41,48 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\
 COMMENTISH = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus\w*|repl(?:y|ies)|respond)(?=$|[\s_-])", re.I)
 
 
+# What an element and those around it say, a bit each.
+GROUPS = {"menu": ("nav", "menu"), "header": ("header",), "footer": ("footer",), "aside": ("aside",), "table": ("table",), "list": ("li", "dd", "dt"), "article": ("article", "main"),
+          "form": ("form", "button", "label", "select", "option", "fieldset", "dialog", "search", "legend")}
+BITS = {g: 1 << i for i, g in enumerate([*GROUPS, "against", "for", "hidden", "comment"])}
+OF_NAME = {n: BITS[g] for g, names in GROUPS.items() for n in names}
+
+
+class Node:
+    """An open element: its bits are its own and those of all around it, so a block needs only the innermost."""
+
+    __slots__ = ("bits", "depth", "name", "parent", "serial")
+
+    def __init__(self, name: str, serial: int, parent: Node | None, bits: int):
+        self.name, self.serial, self.parent = name, serial, parent
+        self.bits = bits | OF_NAME.get(name, 0) | (parent.bits if parent else 0)
+        self.depth = parent.depth + 1 if parent else 1
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple  # (name, serial number, against, for, hidden, commentish) of each open block element
+    node: Node | None  # the innermost open block element
     linked: int  # characters inside links
     tags: int
 
 
-def attributes(rest: str) -> tuple[bool, bool, bool, bool]:
+def attributes(rest: str) -> int:
     words = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(rest)) if rest else ""
-    return bool(words and AGAINST.search(words)), bool(words and FOR.search(words)), bool(rest and HIDDEN.search(rest)), bool(words and COMMENTISH.search(words))
+    found = {"against": words and AGAINST.search(words), "for": words and FOR.search(words), "hidden": rest and HIDDEN.search(rest), "comment": words and COMMENTISH.search(words)}
+    return sum(BITS[k] for k, v in found.items() if v)
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple] = []
+    stack: list[Node] = []
+    open_: Counter = Counter()  # names on the stack, so that a tag without a partner costs no search
+
+    def cut(i: int) -> None:
+        for x in stack[i:]:
+            open_[x.name] -= 1
+        del stack[i:]
+
     serial, at, parts, linked, in_link, tags, end = 0, 0, [], 0, 0, 0, len(page)
 
     def flush():
@@ -64,7 +90,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(stack), linked, tags))
+                out.append(Block(text, stack[-1] if stack else None, linked, tags))
         parts, linked, tags = [], 0, 0
 
     while at < end:
@@ -91,9 +117,9 @@ def blocks_of(page: str) -> list[Block]:
                 in_link = max(0, in_link - 1)
             elif name in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+                for i in range(len(stack) - 1, -1, -1) if open_[name] else ():
+                    if stack[i].name == name:
+                        cut(i)
                         break
             continue
         if name in SILENT:
@@ -107,18 +133,19 @@ def blocks_of(page: str) -> list[Block]:
         elif name in BLOCKS:
             flush()
             in_link = 0 if name in ("p", "div", "article", "section") else in_link
-            if name in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in SAME:
+            if name in CLOSES_P and stack and stack[-1].name == "p":
+                cut(len(stack) - 1)
+            if name in SAME and any(open_[x] for x in SAME[name]):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in SCOPES[name]:
+                    if stack[i].name in SCOPES[name]:
                         break
-                    if stack[i][0] in SAME[name]:
-                        del stack[i:]
+                    if stack[i].name in SAME[name]:
+                        cut(i)
                         break
             if name not in VOID:
                 serial += 1
-                stack.append((name, serial, *attributes(m["rest"])))
+                stack.append(Node(name, serial, stack[-1] if stack else None, attributes(m["rest"])))
+                open_[name] += 1
         else:
             tags += 1
     flush()
@@ -129,17 +156,15 @@ FEATURES = ("bias", "menu", "header", "footer", "aside", "form", "table", "list"
 
 
 def features(b: Block, has_article: bool) -> list[float]:
-    names = {p[0] for p in b.path}
     n = len(b.text)
     words = b.text.count(" ") + 1
-    inside = bool(names & {"article", "main"})
     links = min(1.0, b.linked / n) if n else 0.0
-    last = b.path[-1][0] if b.path else ""
+    bits, last = (b.node.bits, b.node.name) if b.node else (0, "")
+    has = {g: float(bool(bits & bit)) for g, bit in BITS.items()}
     return [
-        1.0, float(bool(names & {"nav", "menu"})), float("header" in names), float("footer" in names), float("aside" in names),
-        float(bool(names & {"form", "button", "label", "select", "option", "fieldset", "dialog", "search", "legend"})), float("table" in names), float(bool(names & {"li", "dd", "dt"})),
-        float(inside), float(last in ("h1", "h2", "h3", "h4", "h5", "h6")), float(last in ("p", "blockquote", "pre")), float(any(p[2] for p in b.path)), float(any(p[3] for p in b.path)),
-        float(any(p[4] for p in b.path)), float(any(p[5] for p in b.path)), links, min(words, 60) / 60, float(words >= 12), float(b.text[-1] in ".!?…\"'»”"), float(has_article and not inside), float(links > 0.8 and last == "li"),
+        1.0, has["menu"], has["header"], has["footer"], has["aside"], has["form"], has["table"], has["list"], has["article"],
+        float(last in ("h1", "h2", "h3", "h4", "h5", "h6")), float(last in ("p", "blockquote", "pre")), has["against"], has["for"], has["hidden"], has["comment"],
+        links, min(words, 60) / 60, float(words >= 12), float(b.text[-1] in ".!?…\"'»”"), float(has_article and not has["article"]), float(links > 0.8 and last == "li"),
     ]
 
 
@@ -212,24 +237,30 @@ def weights() -> np.ndarray:
 
 
 def has_article(found: list[Block]) -> bool:
-    return any(p[0] in ("article", "main") for b in found for p in b.path)
+    return any(b.node.bits & BITS["article"] for b in found if b.node)
 
 
 # The cut
 
+def apart(a: Node | None, b: Node | None) -> int:
+    """Elements that separate two: those to leave and those to enter from one to the other."""
+    steps = 0
+    while a is not b:
+        if b is None or (a is not None and a.depth >= b.depth):
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def edges_of(found: list[Block], next_to: float = 0.5, same_parent: float = 0.6) -> list[tuple[int, int, float]]:
     """Smoothness: each block with the next one in page order, and with the last block of its DOM parent; an edge weakens with the elements that separate them."""
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            common = 0
-            for p, q in zip(a, b.path):
-                if p[1] != q[1]:
-                    break
-                common += 1
-            out.append((i - 1, i, next_to / (1 + len(a) + len(b.path) - 2 * common)))
-        parent = b.path[-2][1] if len(b.path) > 1 else 0
+            out.append((i - 1, i, next_to / (1 + apart(found[i - 1].node, b.node))))
+        parent = b.node.parent.serial if b.node and b.node.parent else 0
         if parent in last:
             out.append((last[parent], i, same_parent))
         last[parent] = i
@@ -258,11 +289,15 @@ def min_cut(content: list[float], other: list[float], edges: list[tuple[int, int
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        reached = max_flow(rest, gain, near)
-        for i in rest:
-            label[i] = i in reached
+    for i in range(n):  # what is left falls apart into small graphs, each with a flow of its own
+        if label[i] is None:
+            part, todo = {i}, [i]
+            while todo:
+                todo += (new := [j for j in near[todo.pop()] if j not in part])
+                part.update(new)
+            reached = max_flow(sorted(part), gain, near)
+            for j in part:
+                label[j] = j in reached
     return [bool(x) for x in label]
 
 

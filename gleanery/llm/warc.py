@@ -9,7 +9,7 @@ only if its header decodes to the begin of a WARC record, and owns the records t
 Compressed bytes that merely look like a member fail the decoding. A damaged member is skipped to the next that decodes; a range needs no other range.
 
 Defined cases: null and empty html have an empty payload; null page_id is written as an empty field and read back as null, and never is the one referred to
-(equal payloads of null ids only are all responses); rows with equal id and payload are all responses if that id is the largest; null urls are written as
+(equal payloads of null ids only are all responses); ids that are no integers can be written but are read back as null; rows with equal id and payload are all responses if that id is the largest; null urls are written as
 empty; an empty table gives no archives and no rows; other columns are ignored.
 """
 
@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import HOT, Scratch, read_table
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2000-01-01T00:00:00Z"  # a fixed date: reruns give equal archives
@@ -41,13 +41,21 @@ def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 # Writing
 
 def decided(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """pages(page_id, url, html) with payload (binary), digest, bytes, record_type, refers_to. The largest id of a digest comes from an aggregation with a partial
-    step; only digests that occur more than once are joined back."""
-    p = pages.withColumn("payload", F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))).drop("html")
-    p = p.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    first = p.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    key = F.when(F.col("bytes") >= least, F.col("digest"))
-    p = p.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left")
+    """pages(page_id, url, html) with payload (binary), digest, bytes, record_type, refers_to. The largest id of a digest comes from an aggregation of narrow rows with a partial
+    step; only digests that occur more than once are joined back. Rows that can't be revisits have a join key of their own, so they spread over all tasks, and the
+    rows of a digest with more than their share (common.HOT: at most 1024 such digests) are dealt over several."""
+    html = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
+    spark = pages.sparkSession
+    large = pages.where(F.octet_length(html) >= least).select("page_id", F.sha1(html).alias("digest"))
+    first = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    first = Scratch(spark, "warc").cut(first, "first")
+    share = max((first.agg(F.sum("n")).first()[0] or 0) * HOT, 16.0)
+    hot = first.where(F.col("n") > share).select("digest", F.ceil(F.col("n") / share).cast("int").alias("parts"))
+    table = first.join(F.broadcast(hot), "digest", "left").select(F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("digest").alias("key"), "first")
+    p = pages.withColumn("payload", html).drop("html").withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
+    p = p.join(F.broadcast(hot), "digest", "left").withColumn("part", F.pmod(F.hash("page_id", "url"), F.coalesce("parts", F.lit(1))))
+    key = F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("row "), F.monotonically_increasing_id()))
+    p = p.withColumn("key", key).join(table, ["key", "part"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return p.select("page_id", "url", "payload", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -180,8 +188,12 @@ def ranges(archives: DataFrame, split: int = 64 << 20) -> DataFrame:
         "path", "start", F.least(F.col("start") + split, F.col("bytes")).alias("stop"))
 
 
-def read(spark: SparkSession, archives: DataFrame, split: int = 64 << 20) -> DataFrame:
-    """archives(path, bytes) -> path, at, record_type, page_id, url, payload, payload_bytes, declared_digest, refers_to; revisits have a null payload."""
+def read(spark: SparkSession, archives: DataFrame, split: int | None = None) -> DataFrame:
+    """archives(path, bytes) -> path, at, record_type, page_id, url, payload, payload_bytes, declared_digest, refers_to; revisits have a null payload. Ranges of `split` bytes; by
+    default 64 MB, or less where that would leave cores without work."""
+    if split is None:
+        total = archives.agg(F.sum("bytes")).first()[0] or 0
+        split = max(1 << 20, min(64 << 20, total // (4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches):
         for batch in batches:

@@ -11,6 +11,7 @@ from gleanery.llm import matroska as mk
 from gleanery.llm import warc
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.functions import spark_partition_id
 
 
 @settings(max_examples=60, deadline=None)
@@ -97,3 +98,18 @@ def test_warc_false_magic():
 def test_warc_empty(spark, tmp_path):
     assert warc.write(spark.createDataFrame([], PAGES), f"file://{tmp_path}/w").count() == 0
     assert warc.read(spark, spark.createDataFrame([], "path string, bytes bigint, records bigint")).count() == 0
+
+
+def test_small_and_equal_pages_spread(spark):
+    """Pages that can't be revisits, and revisits of one digest, are dealt over all tasks."""
+    rows = spark.range(12_000).selectExpr("id as page_id", "'u' as url", "case when id % 3 = 0 then repeat('hot page ', 200) when id % 3 = 1 then 'small' else null end as html")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = warc.decided(rows)
+        sizes = [r["count"] for r in d.groupBy(spark_partition_id()).count().collect()]
+        assert sum(sizes) == 12_000 and max(sizes) < 2 * 12_000 / len(sizes) and len(sizes) > 1
+        assert {(r["record_type"], r["refers_to"]): r["count"] for r in d.groupBy("record_type", "refers_to").count().collect()} == {("response", None): 8001, ("revisit", 11_997): 3999}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -5,7 +5,7 @@ together, such as an insult and the mention of a group, which additive weights m
 
 Fitting: labels of the fitting folds (crc32 of the id as text, modulo 4, not 2), at most `sample` rows of them chosen by a hash of the id (`sample` bounds
 what reaches the driver: ids and hashed terms, no texts). Terms are hashed into 2^20 buckets; the `features` buckets that tell the classes apart best, with
-a least number of documents each, enter the machine. A quarter of the sample is kept back to stop the descent, and to calibrate scores as probabilities.
+a least number of documents each, enter the machine, and of the `frequent` that most documents have those that tell in pairs. A quarter of the sample is kept back to stop the descent, and to calibrate scores as probabilities.
 Scoring reads whole texts on the executors; the model that goes to them has `features` x (1 + factors) numbers.
 
 Defined cases: null or empty text scores as a text without any known term; labels null, or ids null, are not used for fitting; without labels of both
@@ -42,7 +42,7 @@ class Buckets(dict):
         self.place = place
 
     def __missing__(self, term: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         b = bucket(term)
         b = self[term] = b if self.place is None else self.place.get(b, -1)
@@ -79,7 +79,7 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, features: int = 512, factors: int = 6, least: int = 4, steps: int = 250, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, features: int = 512, frequent: int = 1024, factors: int = 6, least: int = 4, steps: int = 250, seed: int = 7) -> Machine:
     """rows: each document's distinct buckets; held: rows kept back from the descent for stopping and calibration."""
     y = y.astype(np.float64)
     share = float(y.mean()) if len(y) else 0.0
@@ -93,9 +93,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, features: int =
         if not h:
             (c1 if label else c0)[r] += 1
     tell = np.sqrt(n1 * n0 / (n1 + n0)) * np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum((c1 + c0) / (n1 + n0) * (1 - (c1 + c0) / (n1 + n0)), 1e-9))
-    tell[(c1 + c0 < least) | (tell < 3)] = 0  # three standard errors apart
-    best = np.sort(np.argsort(-tell, kind="stable")[:features])
-    best = best[tell[best] > 0]
+    # Terms that tell the classes apart by themselves, by three standard errors, and those of pairs that tell them apart though neither does.
+    alone = np.where(c1 + c0 < least, 0, tell)
+    single = np.argsort(-np.where(alone < 3, 0, alone), kind="stable")[:features]
+    often = np.where((c1 + c0 < least) | (c1 + c0 > 0.9 * len(fit_y)), 0, c1 + c0)
+    common = np.argsort(-often, kind="stable")[:frequent]
+    best = np.union1d(single[alone[single] >= 3], telling_pairs(rows, y, held, common[often[common] > 0], alone))
     place = np.full(BUCKETS, -1, np.int32)
     place[best] = np.arange(len(best))
     x = np.zeros((len(rows), len(best)), np.float32)
@@ -134,6 +137,28 @@ def fit(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, features: int =
     return m
 
 
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, of: np.ndarray, alone: np.ndarray, errors: float = 6.0) -> np.ndarray:
+    """Buckets among `of` that occur in a pair whose joint occurrence tells the classes apart by `errors` standard errors (beyond what chance gives among all pairs), and by half
+    as much again as either does alone."""
+    place = np.full(BUCKETS, -1, np.int32)
+    place[of] = np.arange(len(of))
+    n, met = np.zeros(2), np.zeros((2, len(of), len(of)), np.float32)
+    for label in (0, 1):
+        chosen = [r for r, t, h in zip(rows, y, held, strict=True) if not h and int(t) == label]
+        n[label] = len(chosen)
+        for at in range(0, len(chosen), 2048):
+            x = np.zeros((min(2048, len(chosen) - at), len(of)), np.float32)
+            for i, r in enumerate(chosen[at : at + 2048]):
+                p = place[r]
+                x[i, p[p >= 0]] = 1
+            met[label] += x.T @ x
+    share = met.sum(axis=0) / n.sum()
+    tell = np.sqrt(n[0] * n[1] / n.sum()) * np.abs(met[1] / n[1] - met[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9))
+    tell[(met.sum(axis=0) < 4) | (tell < errors) | (tell < 1.5 * np.maximum(alone[of][:, None], alone[of][None, :]))] = 0
+    np.fill_diagonal(tell, 0)
+    return of[tell.max(axis=1, initial=0) > 0]
+
+
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift by which margins become probabilities: smoothed targets, a weak pull to slope 1 and shift 0, Newton steps halved until the loss falls."""
     n1, n0 = y.sum(), len(y) - y.sum()

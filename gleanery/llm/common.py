@@ -53,11 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: The folders of this process, for a caller that has written an operator's result and wants its tables gone.
+MADE: list[Scratch] = []
+
+
 class Scratch:
-    """Tables written under the shared folder to cut lineage; `drop` removes those no longer read."""
+    """Tables written under the shared folder to cut lineage; `drop` removes those no longer read, `drop_all` the folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        MADE.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -72,8 +77,14 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(df._gleanery_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(df._gleanery_path)
+
+    def drop_all(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Keys that hold more than this share of all rows each are joined by broadcast: there can be no more of them than its inverse.

@@ -8,7 +8,7 @@ r, the prefix sum at rank i is i * r; the whole part of r is given to every docu
 
 The order puts documents of like size together, so the words taken stay close to the target. Ranks are counted in three levels so that a source with a
 third of all rows is no single task: row numbers within (source, size class, salt), sums over the salts of a size class, sums over the size classes of a
-source. The last two run over counts only (at most 64 rows a size class, and 16 size classes for each doubling of the size).
+source. The last two run over counts only (at most SALTS rows a size class, and 16 size classes for each doubling of the size).
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; sources of size 0 get target 0; an empty table gives no rows;
 repeated rows are separate documents (which of two equal rows is emitted does not show); other columns are ignored.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
 
-SALTS = 64
+SALTS = 4096  # a source and size class with 10^10 documents is dealt over so many windows of a few million narrow rows
 SPACE = "\t\n\x0b\x0c\r"
 
 
@@ -105,7 +105,7 @@ WITH d AS (
   FROM documents),
 k AS (
   SELECT *, CASE WHEN size < 32 THEN size ELSE 32 + (length(bin(size)) - 6) * 16 + (size >> CAST(length(bin(size)) - 5 AS INTEGER)) - 16 END AS b,
-    CAST('0x' || substr(h, 1, 4) AS BIGINT) % 64 AS salt
+    CAST('0x' || substr(h, 1, 4) AS BIGINT) % 4096 AS salt
   FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM s),

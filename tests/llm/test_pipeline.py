@@ -1,5 +1,7 @@
 """Each stage of the pipeline works on all that the stage before kept, against brute force, with clashing and further columns."""
 
+import os
+
 import corpus_pipeline as cp
 from gleanery.llm import pii
 from test_native import brute as brute_pii
@@ -45,7 +47,33 @@ def test_stages(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
-    assert cp.run(spark, sf_dir).count() > 0 and 4 <= len(cp.STAGES) <= 5
+    """run() is its stages one after another, and leaves its own last table only."""
+    base = cp.Scratch(spark, "probe").base.removeprefix("file://").rsplit("/", 1)[0]
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    got = cp.run(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    key = lambda df: sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in df.collect())
+    left = [d for d in set(os.listdir(base)) - before if d.startswith("pipeline")]
+    assert len(left) == 1 and len(os.listdir(f"{base}/{left[0]}")) == 1
+    assert key(got) == key(docs) and 4 <= len(cp.STAGES) <= 5
+
+
+def test_rows(spark, sf_dir):
+    """Null, empty and repeated rows, rows without an id, one id with two texts, ties, clashing names, one very long text."""
+    long_ = "several words of a long text " * 20_000
+    rows = [(1, None, "a"), (2, "", "a"), (None, "some words here", None), (None, "some words here", None), (3, "one two three four five six", "b"), (3, "one two three four five six", "b"),
+            (3, "other words than those before them", "b"), (4, long_, "b"), (5, "write to a@b.co now", None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, source string, size string, n_chars int")
+    assert cp.toxicity(spark, docs, sf_dir).columns == docs.columns
+    single = cp.near_duplicates(spark, docs, sf_dir)
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in single.collect()) == sorted([("1", ""), ("2", ""), ("None", "some "), ("None", "some "), ("3", "one t"), ("3", "other"), ("4", "sever"), ("5", "write")])
+    clean = cp.personal_data(spark, docs, sf_dir)
+    assert clean.count() == len(rows) and [(r["text"], r["n_chars"]) for r in clean.where("doc_id = 5").collect()] == [("write to <EMAIL> now", 20)]
+    mixed = cp.source_mix(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in cp.token_ids(spark, docs, sf_dir).collect())[:2] == [("1", 0), ("2", 0)] and cp.token_ids(spark, docs, sf_dir).count() == len(rows)
 
 
 def test_empty_documents(spark, sf_dir):

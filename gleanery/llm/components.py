@@ -36,8 +36,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
-def extended(comp: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components (id, comp) after further links: only links between components are worked on, each component as one node."""
+def extended(comp: DataFrame | None, links: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """Components (id, comp) after `n` further links: only links between components are worked on, each component as one node."""
+    if comp is not None and not n:
+        return comp
     if comp is None:
         return scratch.cut(components(links, scratch), "components")
     of = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))

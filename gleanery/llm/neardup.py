@@ -189,11 +189,11 @@ def counted(df: DataFrame, name: str, scratch: Scratch) -> tuple[DataFrame, int]
     return out, seen.get.get("n") or 0
 
 
-def confirmed(pairs: DataFrame, total: int, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
-    """Of pairs(a, b), those with 100 * intersection >= percent * union of the full shingle sets. The set of `a` is shipped once a block of its pairs, that of `b` once a
+def confirmed(pairs: DataFrame, total: int, sets: Sets, percent: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Of pairs(a, b), those with 100 * intersection >= percent * union of the full shingle sets, and their number. The set of `a` is shipped once a block of its pairs, that of `b` once a
     pair; a task holds one block's `a` and streams the others by."""
     if not total:
-        return pairs
+        return pairs, 0
     full = sets.of(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
     parted, parts = dealt(pairs, "a", total)
     one = parts.join(full.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "shingles")
@@ -217,7 +217,7 @@ def confirmed(pairs: DataFrame, total: int, sets: Sets, percent: int, scratch: S
                         keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    return scratch.cut(met.mapInArrow(run, f"a {kind}, b {kind}").distinct(), "confirmed")
+    return counted(met.mapInArrow(run, f"a {kind}, b {kind}").distinct(), "confirmed", scratch)
 
 
 def opened(members: DataFrame, comp: DataFrame | None, scratch: Scratch) -> DataFrame:
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     for turn in range(ROUNDS):
         open_ = opened(members, comp, scratch)
         pairs, n = likely(pivot_pairs(open_, F.xxhash64("id", F.lit(turn)) if turn % 2 else F.col("reach")), sketches, percent, bound, scratch)
-        comp = extended(comp, confirmed(pairs, n, sets, percent, scratch), scratch)
+        comp = extended(comp, *confirmed(pairs, n, sets, percent, scratch), scratch)
         scratch.drop(open_, pairs)
 
     open_ = opened(members, comp, scratch)
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch.drop(open_, members)
     full = sets.of(nodes.select(F.col("id").alias("doc_id")))
     pairs, n = likely(prefix_pairs(nodes, full, percent, scratch), sketches, percent, bound, scratch)
-    comp = extended(comp, confirmed(pairs, n, sets, percent, scratch), scratch)
+    comp = extended(comp, *confirmed(pairs, n, sets, percent, scratch), scratch)
     of_class = classes.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     out = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("comp", "doc_id")

@@ -70,8 +70,10 @@ class Machine:
         self.buckets, self.bias, self.w, self.v, self.slope, self.shift = buckets, bias, w, v, slope, shift
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        s = x @ self.v
-        return self.bias + x @ self.w + 0.5 * (s * s - (x * x) @ (self.v * self.v)).sum(axis=1)
+        """Margins of rows of zeros and ones."""
+        w, v = self.w.astype(np.float32), self.v.astype(np.float32)
+        s = x @ v
+        return (self.bias + x @ w + 0.5 * (s * s - x @ (v * v)).sum(axis=1)).astype(np.float64)
 
     def score_places(self, places: list[int]) -> float:
         s, v = self.v[places].sum(axis=0), self.v[places]
@@ -101,20 +103,25 @@ def fit(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, features: int =
     best = np.union1d(single[alone[single] >= 3], telling_pairs(rows, y, held, common[often[common] > 0], alone))
     place = np.full(BUCKETS, -1, np.int32)
     place[best] = np.arange(len(best))
-    x = np.zeros((len(rows), len(best)), np.float32)
-    for i, r in enumerate(rows):
-        at = place[r]
-        x[i, at[at >= 0]] = 1
+
+    def table(chosen: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(chosen), len(best)), np.float32)
+        for i, k in enumerate(chosen):
+            at = place[rows[k]]
+            x[i, at[at >= 0]] = 1
+        return x
+
+    xa, xh, ya, yh = table(np.flatnonzero(~held)), table(np.flatnonzero(held)), fit_y, y[held]
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(best)), rng.normal(0, 0.02, (len(best), factors)), float(np.log(n1 / n0))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v, np.zeros(1))]
     m = Machine(best, bias, w, v)
-    xa, xh, ya, yh = x[~held], x[held], fit_y, y[held]
     kept, low, wait = None, np.inf, 0
     for step in range(1, steps + 1):
-        s = xa @ m.v
-        z = m.bias + xa @ m.w + 0.5 * (s * s - xa @ (m.v * m.v)).sum(axis=1)
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - ya) / len(ya)
+        w, v = m.w.astype(np.float32), m.v.astype(np.float32)  # in the table's own precision, so that no product copies it
+        s = xa @ v
+        z = m.bias + xa @ w + 0.5 * (s * s - xa @ (v * v)).sum(axis=1)
+        g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - ya) / len(ya)).astype(np.float32)
         col = xa.T @ g
         grads = (col + 2e-4 * m.w, xa.T @ (g[:, None] * s) - col[:, None] * m.v + 2e-3 * m.v, np.array([g.sum()]))
         out = []
@@ -190,7 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     ids, y, fold = (rows.column(c).to_numpy() for c in ("doc_id", "toxic", "fold"))
     buckets = [x for chunk in rows.column("buckets").chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])] if len(y) else []
     order = np.lexsort(([int(x.sum()) for x in buckets], [len(x) for x in buckets], ids))  # the order in which tasks end must not matter
-    return fit([buckets[i] for i in order], y[order].astype(np.int64), fold[order] == 0, **how)
+    model = fit([buckets[i] for i in order], y[order].astype(np.int64), fold[order] == 0, **how)
+    del rows, buckets
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import answer_letter
+
 MEDIAN_WORDS = 774
 AESTHETIC, INFORMATION = ["element", "layout", "engagement"], ["clarity", "content", "logic"]
 
@@ -22,12 +24,17 @@ def judge_score(value: Column) -> Column:
 
 
 def quiz_scores(items: DataFrame, answers: DataFrame, strict_reference: bool = False) -> DataFrame:
-    """items(doc_id, qtype, qid, gold), answers(doc_id, model, qid, answer, reference) -> correct, total, accuracy for each doc_id, model and qtype.
-    NA is never right and stays in the denominator; strict_reference treats an answer without reference as NA; two empty letters are not right."""
-    models = answers.select("doc_id", "model").distinct()
-    a = answers.withColumn("na", (F.upper(F.trim("answer")) == "NA") | (F.upper(F.trim("reference")) == "NA") if strict_reference else F.upper(F.trim("answer")) == "NA")
-    j = items.join(models, "doc_id").join(a, ["doc_id", "model", "qid"], "left")
-    right = (F.coalesce(~F.col("na"), F.lit(False))) & (F.col("gold") != "") & (F.upper(F.trim("answer")) == F.col("gold"))
+    """items(doc_id, qtype, qid, gold, perhaps idx), answers(doc_id, model, qid, answer, reference) -> correct, total, accuracy for each doc_id, model and qtype.
+    The letters that gold and answer open with are compared. An item's answer is the one of its qid, else the one named `Question <idx>`. NA is never right and stays in
+    the denominator; strict_reference treats an answer without reference as NA; two empty letters are not right."""
+    na = F.upper(F.trim("answer")) == "NA"
+    a = answers.select("doc_id", "model", "qid", (na | (F.upper(F.trim("reference")) == "NA") if strict_reference else na).alias("na"), answer_letter(F.col("answer")).alias("letter"))
+    j = items.join(answers.select("doc_id", "model").distinct(), "doc_id").join(a, ["doc_id", "model", "qid"], "left")
+    if "idx" in items.columns:
+        named = a.select("doc_id", "model", F.col("qid").alias("_named"), F.col("na").alias("_na"), F.col("letter").alias("_letter"))
+        j = j.withColumn("_named", F.concat(F.lit("Question "), F.col("idx").cast("string"))).join(named, ["doc_id", "model", "_named"], "left")
+        j = j.withColumn("letter", F.when(F.col("na").isNull(), F.col("_letter")).otherwise(F.col("letter"))).withColumn("na", F.coalesce("na", "_na"))
+    right = F.coalesce(~F.col("na") & (F.col("letter") != "") & (F.col("letter") == answer_letter(F.col("gold"))), F.lit(False))
     return (j.groupBy("doc_id", "model", "qtype").agg(F.sum(F.when(right, 1).otherwise(0)).alias("correct"), F.count(F.lit(1)).alias("total"))
             .withColumn("accuracy", F.col("correct") / F.greatest(F.col("total"), F.lit(1))))
 

@@ -35,10 +35,49 @@ def divided(text: Column, margin: int = 50) -> Column:
     return F.when(at.between(F.lit(margin), F.length(text) - margin), F.array(strip(F.substring(text, F.lit(1), at)), strip(F.substring(text, at + 1, F.length(text))))).otherwise(halves(text))
 
 
+# Blocks that stay whole, equations and algorithms or code.
+ATOMIC = [r"(\$\$[\s\S]*?\$\$|\\begin\{(?:equation|align|gather|multline)\}[\s\S]*?\\end\{(?:equation|align|gather|multline)\})", r"(\\begin\{algorithm\}[\s\S]*?\\end\{algorithm\}|```[\s\S]*?```)"]
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """(start, stop) of a pattern's matches, from the lengths of the matches and of the stretches between."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        start = s["at"] + F.length(p["g"])
+        stop = start + F.length(p["m"])
+        return F.struct(stop.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("out"))
+
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    return F.aggregate(pairs, state, step, lambda s: s["out"])
+
+
+def paragraphs(content: Column) -> Column:
+    """A text's paragraphs, between blank lines. One that begins inside an atomic block is held back and goes out with those that follow, up to and with the first that begins
+    outside."""
+    blank = r"\n\s*\n"
+    parts, marks = F.split(content, blank, -1), F.regexp_extract_all(content, F.lit(blank), F.lit(0))
+    blocks = F.concat(*[spans(content, p) for p in ATOMIC])
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("held"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        inside = F.exists(blocks, lambda b: (b["start"] <= s["at"]) & (s["at"] <= b["stop"]))
+        text = F.concat_ws("\n\n", s["held"], p["t"])
+        return F.struct((s["at"] + F.length(p["t"]) + F.length(F.coalesce(p["m"], F.lit("")))).alias("at"), F.when(inside, text).alias("held"),
+                        F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.array(text))).alias("out"))
+
+    pairs = F.transform(F.arrays_zip(parts.alias("t"), marks.alias("m")), lambda z: F.struct(z["t"].alias("t"), z["m"].alias("m")))
+    done = F.aggregate(pairs, start, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
+    plain = F.split(content, blank, -1)
+    marked = F.contains(content, F.lit("$$")) | F.contains(content, F.lit("```")) | F.contains(content, F.lit("\\begin{"))
+    return F.filter(F.transform(F.when(marked, done).otherwise(plain), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
 def pack(content: Column, most: int = 800) -> Column:
     """The chunk texts of a section: whole if short; else paragraphs packed in order, a paragraph over the limit flushing what is packed and going out in two
     parts, which are not cut again."""
-    paras = F.filter(F.transform(F.split(content, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    paras = paragraphs(content)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("n"))
     joined = lambda s: F.array(F.array_join(s["parts"], "\n\n"))
     flushed = lambda s: F.when(F.size(s["parts"]) > 0, F.concat(s["done"], joined(s))).otherwise(s["done"])

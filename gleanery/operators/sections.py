@@ -19,9 +19,9 @@ def split_headers(docs: DataFrame, text_col: str = "text", most_level: int = 6)
     A section's number counts every header before it, also of sections dropped for having no content. Text before the first header is dropped; a document
     without any section that has content becomes one section titled Content."""
     body = F.regexp_replace(F.col(text_col), r"(?s)^---\n.*?\n---\n", "")
-    # A mark that the text can't hold goes before each header line; the pieces between marks are the sections.
-    marked = F.regexp_replace(body, r"(?m)^(#{1," + str(most_level) + r"}[ \t]+\S.*)$", "\u0001$1")
-    parts = F.slice(F.split(marked, "\u0001"), 2, 1_000_000)
+    # The text is cut before each header line; a piece that opens with none is what stands before the first.
+    header = "#{1," + str(most_level) + r"}[ \t]+\S"
+    parts = F.filter(F.split(body, f"(?m)(?=^{header})"), lambda p: F.rlike(p, F.lit("^" + header)))
     head = lambda p: F.regexp_extract(p, r"^(#+)[ \t]+([^\n]*)", 1)
     title = lambda p: F.trim(F.regexp_extract(p, r"^(#+)[ \t]+([^\n]*)", 2))
     content = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*", ""), r"^\s+", ""), r"\s+$", "")
@@ -74,7 +74,8 @@ def page_sections(pages: DataFrame) -> DataFrame:
 
 def poster_panels(html_docs: DataFrame) -> DataFrame:
     """html_docs(doc_id, html) of panel markup -> doc_id, panel_no, title, lead, bullets, text, images; text before the first panel is dropped."""
-    parts = F.slice(F.split("html", r'<div[^>]*class="panel(?:\s[^"]*)?"[^>]*>'), 2, 1_000_000)
+    cut = F.split("html", r'<div[^>]*class="panel(?:\s[^"]*)?"[^>]*>')
+    parts = F.slice(cut, F.lit(2), F.size(cut))
     df = html_docs.select("doc_id", F.posexplode(parts).alias("i", "p"))
     pick = lambda pattern: T.strip_tags(F.regexp_extract("p", pattern, 1))
     bullets = F.filter(F.transform(F.regexp_extract_all("p", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), F.lit(1)), T.strip_tags), lambda b: b != "")

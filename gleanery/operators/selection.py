@@ -13,8 +13,11 @@ def top_k(df: DataFrame, by: list[str], order: list, k) -> DataFrame:
 
 
 def first_wins(df: DataFrame, by: list, order: list) -> DataFrame:
-    """One row of each key, the first in order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+    """One row of each key, the first in order (ascending; nulls last). An aggregate rather than a window, so rows of a frequent key are combined before the exchange."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in by]
+    place = F.struct(*[x for o in order for c in [F.col(o) if isinstance(o, str) else o] for x in (c.isNull(), c)])
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*named).agg(F.min_by(F.struct(*df.columns), place).alias("_r")).select("_r.*")
 
 
 def normal_title(title: Column) -> Column:

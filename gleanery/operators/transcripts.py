@@ -12,6 +12,24 @@ from ..functions import text as T
 BOUNDS = [(0.00, "introduction"), (0.15, "background"), (0.28, "methods"), (0.52, "experiments"), (0.72, "results"), (0.88, "conclusion")]
 LABELS = [name for _, name in BOUNDS]
 PAUSE, BUDGET = 1.8, 150
+# Phrases that speak for a label, titles of the labels, least words of a section and of an abstract.
+SIGNALS = {
+    "introduction": ["i'm here to", "i'll share", "i'll talk about", "today i", "in this talk", "let me start", "let me begin", "i want to present", "we address", "the problem", "the challenge",
+                     "our goal", "our motivation", "why this matters", "the question", "contributions", "overview", "in this work", "in this paper", "we present", "we introduce"],
+    "background": ["related work", "prior work", "previous work", "background", "existing", "traditional", "state of the art", "literature", "conventional", "earlier work", "has been studied",
+                   "has been shown", "researchers have", "studies have", "prior research"],
+    "methods": ["our approach", "our method", "our system", "our model", "we design", "we propose", "the key idea", "the main idea", "the idea is", "our framework", "the algorithm", "specifically",
+                "concretely", "the way we", "what we built", "how it works", "the design", "knowledge engineering", "interface design", "system design", "we developed", "we built", "we created",
+                "our solution"],
+    "experiments": ["we evaluate", "we conducted", "we ran", "study", "user study", "experiment", "evaluation", "participants", "we recruited", "we collected", "dataset", "we tested", "our study",
+                    "we measured", "procedure", "we asked", "conditions"],
+    "results": ["result", "finding", "we found", "we observed", "we saw", "significantly", "improvement", "better", "worse", "accuracy", "performance", "score", "compared to", "outperform",
+                "the data show", "the analysis", "figure shows", "table shows", "p value", "effect", "students", "participants showed"],
+    "conclusion": ["in conclusion", "to summarize", "in summary", "to conclude", "we showed", "we have shown", "future work", "limitation", "takeaway", "key insight", "to wrap up", "thank you",
+                   "open question", "next step", "moving forward", "overall", "what we learned", "implication"],
+}
+TITLES = {"introduction": "Introduction", "background": "Background & Related Work", "methods": "Method", "experiments": "Experimental Setup", "results": "Results & Findings", "conclusion": "Conclusion"}
+LEAST_WORDS, ABSTRACT_WORDS = 40, 25
 
 
 def sessions(segments: DataFrame, by: str, pause: float = PAUSE) -> DataFrame:
@@ -51,6 +69,43 @@ def label_index(share: Column) -> Column:
     return out
 
 
+def phrase_hits(text: Column, phrases: list[str]) -> Column:
+    """How many of the phrases the text contains, each counted once."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return sum((F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0))
+
+
+def advanced(idx: Column, text: Column) -> Column:
+    """The label by time, one further where two more phrases of the next label occur than of its own."""
+    hits = F.array(*[phrase_hits(text, SIGNALS[name]) for name in LABELS])
+    ahead = F.get(hits, idx + 1) >= F.get(hits, idx) + 2
+    return F.when((idx < len(LABELS) - 1) & F.coalesce(ahead, F.lit(False)), idx + 1).otherwise(idx).cast("int")
+
+
+def merge_short(sections: DataFrame, by: str, order: str, least: int = LEAST_WORDS) -> DataFrame:
+    """sections(by, order, label, content) -> by, section_no, label, title, content, word_count. A section of fewer than `least` words joins the one before it, or goes if there is
+    none; a label's later sections are titled as continued."""
+    w = Window.partitionBy(by).orderBy(order)
+    long_ = T.word_count(F.col("content")) >= least
+    s = sections.withColumn("section_no", F.sum(long_.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("section_no > 0")
+    g = s.groupBy(by, "section_no").agg(F.min_by("label", order).alias("label"), F.array_sort(F.collect_list(F.struct(order, "content"))).alias("parts"))
+    content = F.trim(F.array_join(F.transform("parts", lambda p: p["content"]), " "))
+    g = g.withColumn("content", content).withColumn("_n", F.row_number().over(Window.partitionBy(by, "label").orderBy("section_no")))
+    titles = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
+    base = F.coalesce(F.try_element_at(titles, F.col("label")), F.initcap("label"))
+    return g.select(by, "section_no", "label", F.when(F.col("_n") == 1, base).otherwise(F.concat(base, F.lit(" (cont.)"))).alias("title"), "content", T.word_count(F.col("content")).alias("word_count"))
+
+
+def with_abstract(sections: DataFrame, described: DataFrame, by: str, least: int = ABSTRACT_WORDS) -> DataFrame:
+    """merge_short's sections with a description (by, description) of at least `least` words as their first, the others numbered on. Only videos that have sections get one."""
+    d = described.where(T.word_count(F.col("description")) >= least).select(by, F.trim("description").alias("content"))
+    has = d.select(by, F.lit(1).alias("_more"))
+    rest = sections.join(has, by, "left").withColumn("section_no", F.col("section_no") + F.coalesce("_more", F.lit(0))).drop("_more")
+    first = d.join(sections.select(by).distinct(), by, "left_semi").select(by, F.lit(1).cast("long").alias("section_no"), F.lit("abstract").alias("label"), F.lit("Abstract").alias("title"), "content",
+                                                                      T.word_count(F.col("content")).alias("word_count"))
+    return rest.unionByName(first)
+
+
 def monotone(df: DataFrame, by: str, order: list, idx: str = "idx") -> DataFrame:
     """Labels never go back: the running maximum."""
     return df.withColumn(idx, F.max(idx).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

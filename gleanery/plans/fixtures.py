@@ -45,13 +45,19 @@ def segments(events: DataFrame) -> DataFrame:
 
 
 def quiz(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items and answers of two readers by arithmetic on item ids; synthetic, no model's results."""
+    """Items and answers of two readers by arithmetic on item ids; synthetic, no model's results. Some golds and answers carry words behind the letter, some answers are named by
+    the question's number only."""
+    from pyspark.sql import Window
+
     letter = lambda n: F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), 1)
     i = F.col("item_id")
-    items = benchmark.select((i % 5).alias("doc_id"), F.when(i % 2 == 0, "verbatim").otherwise("interpretive").alias("qtype"), i.cast("string").alias("qid"), letter(i).alias("gold"))
-    answer = lambda shift: F.when((i + shift) % 7 == 0, "NA").when((i + shift) % 3 == 0, letter(i + 1)).otherwise(letter(i))
+    items = benchmark.select((i % 5).alias("doc_id"), F.when(i % 2 == 0, "verbatim").otherwise("interpretive").alias("qtype"), i.cast("string").alias("qid"), F.concat(letter(i), F.when(i % 4 == 1, ". the text").otherwise("")).alias("gold"),
+                             F.row_number().over(Window.partitionBy(i % 5).orderBy(i)).alias("idx"))
+    said = lambda n: F.concat(F.when(i % 5 == 2, " ").otherwise(""), letter(n), F.when(i % 3 == 1, ". some words").otherwise(""))
+    answer = lambda shift: F.when((i + shift) % 7 == 0, "NA").when((i + shift) % 3 == 0, said(i + 1)).otherwise(said(i))
     reference = F.when(i % 11 == 0, "NA").otherwise("text")
-    one = lambda name, shift: benchmark.select((i % 5).alias("doc_id"), F.lit(name).alias("model"), i.cast("string").alias("qid"), answer(shift).alias("answer"), reference.alias("reference"))
+    qid = F.when(i % 6 == 0, F.concat(F.lit("Question "), F.row_number().over(Window.partitionBy(i % 5).orderBy(i)).cast("string"))).otherwise(i.cast("string"))
+    one = lambda name, shift: benchmark.select((i % 5).alias("doc_id"), F.lit(name).alias("model"), qid.alias("qid"), answer(shift).alias("answer"), reference.alias("reference"))
     return items, one("reader_a", 0).unionByName(one("reader_b", 2))
 
 

@@ -99,9 +99,10 @@ def latex_head(docs: DataFrame) -> DataFrame:
 def latex_sections(docs: DataFrame) -> DataFrame:
     """Sections of three levels: doc_id, ord, section_id, level, title, content, section_type, word_count. Comments go before headers are sought."""
     t = F.regexp_replace(F.regexp_replace("text", r"(?m)(?<!\\)%.*$", ""), r"(?s)^.*?\\begin\{document\}|\\end\{document\}.*$", "")
-    marked = F.regexp_replace(t, r"\\((?:sub){0,2})section\*?\{((?:[^{}]|\{[^{}]*\})*)\}", "\u0001$1\u0002$2\u0002")
-    parts = F.slice(F.split(marked, "\u0001"), 2, 1_000_000)
-    d = docs.select("doc_id", F.posexplode(F.transform(parts, lambda p: F.split(p, "\u0002", 3))).alias("i", "p"))
+    header = r"\\((?:sub){0,2})section\*?\{((?:[^{}]|\{[^{}]*\})*)\}"
+    parts = F.filter(F.split(t, f"(?={header})"), lambda p: F.rlike(p, F.lit("^" + header)))
+    piece = lambda p: F.array(F.regexp_extract(p, "^" + header, 1), F.regexp_extract(p, "^" + header, 2), F.regexp_replace(p, "^" + header, ""))
+    d = docs.select("doc_id", F.posexplode(F.transform(parts, piece)).alias("i", "p"))
     d = d.select("doc_id", "i", (F.length(F.col("p")[0]) / 3 + 1).cast("int").alias("level"), T.clean_latex(F.col("p")[1]).alias("title"), T.clean_latex(F.col("p")[2]).alias("content")).where("content <> ''")
     d = d.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).drop("i")
     return d.withColumn("section_id", F.concat(F.lit("section_"), F.col("ord").cast("string"))).withColumn("section_type", T.section_type(F.col("title"))).withColumn("word_count", T.word_count(F.col("content")))
@@ -114,7 +115,7 @@ def tabular(body: Column) -> Column:
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
     made = F.transform(rows, line)
-    return F.when(F.size(rows) > 0, F.concat_ws("\n", F.element_at(made, 1), rule, F.slice(made, 2, 100_000)))
+    return F.when(F.size(rows) > 0, F.concat_ws("\n", F.element_at(made, 1), rule, F.slice(made, F.lit(2), F.size(made))))
 
 
 def inline_includes(files: DataFrame, main: DataFrame, depth: int = 8) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import rows_of, sql_rows
-from gleanery.plans import queries as plans
+from gleanery.plans import more as plans
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))

@@ -82,7 +82,7 @@ def author_caps(spark, d):
 
 
 @query(r"""SELECT doc_id, CAST(len(n) AS BIGINT) AS numbers, CASE WHEN len(list_filter(n, lambda x: x > 0)) >= 2 THEN round(list_max(list_filter(n, lambda x: x > 0)) / list_min(list_filter(n, lambda x: x > 0)), 6) END AS ratio
-FROM (SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 4000), '[0-9]{1,9}'), lambda x: CAST(x AS DOUBLE)) AS n FROM documents)""")
+FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]{1,9}'), lambda x: CAST(x AS DOUBLE)) AS n FROM documents)""")
 def data_points_ratio(spark, d):
     n = F.transform(F.regexp_extract_all("text", F.lit("[0-9]{1,9}"), F.lit(0)), lambda x: x.cast("double"))
     return fx.documents(spark, d).select("doc_id", n.alias("n")).select("doc_id", F.size("n").cast("long").alias("numbers"), F.round(T.ratio(F.col("n")), 6).alias("ratio"))
@@ -284,7 +284,7 @@ def section_chunk_join(spark, d):
 
 # Selection
 
-@query(r"""WITH RECURSIVE t AS (SELECT page_id % 25 AS grp, list(array_to_string((list_filter(regexp_split_to_array(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+'), lambda x: x <> ''))[1:3], ' ') ORDER BY page_id) AS ts FROM pages GROUP BY page_id % 25),
+@query(r"""WITH RECURSIVE t AS (SELECT page_id % 25 AS grp, list(array_to_string((list_filter(regexp_split_to_array(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+'), lambda x: x <> '')), ' ') ORDER BY page_id) AS ts FROM pages GROUP BY page_id % 25),
 f AS (SELECT grp, ts, 0 AS i, []::VARCHAR[] AS kept FROM t UNION ALL
   SELECT grp, ts, i + 1, CASE WHEN len(list_filter(kept, lambda k: contains(trim(regexp_replace(lower(ts[i + 1]), '[^\pL\pM\pN_]+', ' ', 'g')), trim(regexp_replace(lower(k), '[^\pL\pM\pN_]+', ' ', 'g')))
     OR contains(trim(regexp_replace(lower(k), '[^\pL\pM\pN_]+', ' ', 'g')), trim(regexp_replace(lower(ts[i + 1]), '[^\pL\pM\pN_]+', ' ', 'g'))))) > 0 THEN kept ELSE list_append(kept, ts[i + 1]) END FROM f WHERE i < len(ts))
@@ -467,7 +467,7 @@ def clip_similarity(spark, d):
     return a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("xa") * F.col("xb")) / F.max(F.col("na") * F.col("nb")), 6).alias("similarity"))
 
 
-@query("""SELECT p.vec_id, arg_min(c.vec_id, abs(p.embedding[1] - c.embedding[1])::DOUBLE + abs(p.embedding[2] - c.embedding[2])::DOUBLE) AS caption FROM embeddings p JOIN embeddings c ON c.label = p.label AND c.vec_id % 10 = 0 AND c.vec_id <> p.vec_id GROUP BY p.vec_id""")
+@query("""SELECT p.vec_id, arg_min(c.vec_id, abs(p.embedding[1] - c.embedding[1])::DOUBLE + abs(p.embedding[2] - c.embedding[2])::DOUBLE) AS caption FROM embeddings p JOIN embeddings c ON c.label = p.label AND c.vec_id <> p.vec_id GROUP BY p.vec_id""")
 def nearest_caption(spark, d):
     e = fx.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
     return selection.nearest_in_group(e, "vec_id", "label", "x", "y").select(F.col("key").alias("vec_id"), F.col("nearest").alias("caption"))

@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Scratch, met
+from .common import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges(a, b), a != b, no nulls -> (id, comp): every linked id with the smallest id reachable from it. Isolated ids do not appear.
 
-    Each step is an aggregation by node with a partial sum on the map side and one join, in which nodes with many links are broadcast (see `met`), so a node with
-    a third of all links is no single task. The link table of a step is written to the shared folder; the loop ends when a step leaves it as it was (count and sum
-    of hashes, observed while writing)."""
-    seen = Observation()
-    first = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    e, was = scratch.cut(first.observe(seen, F.count(F.lit(1)).alias("n")), "links"), None
-    links = seen.get.get("n") or 0
+    Each step is an aggregation by node with a partial sum on the map side and one join of two written tables, whose hot nodes Spark splits (it can't where a
+    join's side is an aggregate), so a node with a third of all links is no single task. The tables of a step are written to the shared folder; the loop ends when a
+    step leaves the links as they were (count and sum of hashes, observed while writing)."""
+    e, was = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links"), None
     while True:
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = met(both, low, "a", 2 * links).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = (met(large, low, "a", 2 * links).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        low = scratch.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+        large = scratch.cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "large")
+        least = scratch.cut(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = (large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                 .unionAll(least.select("a", F.col("m").alias("b"))).distinct())
         seen = Observation()
         new = scratch.cut(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links")
-        scratch.drop(e)
+        scratch.drop(e, low, large, least)
         e, now = new, seen.get
-        links = now.get("n") or 0
-        if now == was or not links:
+        if now == was or not now.get("n"):
             break
         was = now
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())

@@ -14,9 +14,8 @@ Equal sets are one class, held by its smallest id, from the first: thousands of
 Buckets have no cap. With 64 bands of 6, a pair at 0.8 shares no bucket with probability (1 - 0.8^6)^64 = 4e-9, and the sketch bound (five standard deviations of
 the unequal samples at 0.8, three of the bits that they set) loses about one in a million.
 
-Keys with many rows (a pivot, a node with many links, a frequent shingle) are found by counts and dealt over several tasks or joined by broadcast, of which
-there can be only as many as their share of the rows allows (`common.met`, `common.dealt`). Joins by bucket are plain: rows there are narrow, nothing behind
-them needs their partitioning, and Spark splits a skewed bucket itself.
+Frequent shingles are joined by broadcast, and pivots with many full sets dealt over several tasks; there can be only as many of either as their share of the
+rows allows (`common.met`, `common.dealt`). Other joins are of narrow written tables, so Spark splits a skewed key itself.
 
 Defined cases: null or empty text, or text of white space only: no shingles, linked with nothing; fewer words than the shingle length: the whole sequence
 is the one shingle; rows with one id are one node; rows without an id link nothing themselves, but show the class of their text (kept only if no row
@@ -172,12 +171,11 @@ class Sets:
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, percent: int, bound: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """Of pairs(a, b), those that sizes and sketches allow, and their number. The rows of a hot `a` are dealt over several tasks, with its sketch in each."""
-    pairs, total = counted(pairs.distinct(), "pairs", scratch)
-    parted, parts = dealt(pairs, "a", total)
-    x = parts.join(sketches.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x")), "a")
+    """Of pairs(a, b), those that sizes and sketches allow, and their number. A hot `a` is a skewed key of a plain join of written tables, which Spark splits."""
+    pairs = scratch.cut(pairs.distinct(), "pairs")
+    x = sketches.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x"))
     y = sketches.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y"))
-    out, n = counted(parted.join(y, "b").join(x, ["a", "part"]).where(alike(percent, bound)).select("a", "b"), "likely", scratch)
+    out, n = counted(pairs.join(y, "b").join(x, "a").where(alike(percent, bound)).select("a", "b"), "likely", scratch)
     scratch.drop(pairs)
     return out, n
 
@@ -256,7 +254,7 @@ def prefix_pairs(nodes: DataFrame, full: DataFrame, percent: int, scratch: Scrat
     prefix = scratch.cut(prefix.join(nodes, "id").select(F.col("p.sh").alias("sh"), F.col("p.left").alias("left"), "id", "size", "comp"), "prefixes")
     groups = prefix.groupBy("sh", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("sh").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
     groups = scratch.cut(groups.where("parts > 1").select("sh", "main", "n"), "groups")
-    left = met(prefix, groups, "sh", prefix.count()).withColumn("salts", F.ceil(F.col("n") / 256).cast("int"))
+    left = prefix.join(groups, "sh").withColumn("salts", F.ceil(F.col("n") / 256).cast("int"))
     few = left.where("comp != main").select("sh", F.struct("id", "left", "size", "comp").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     many = left.select("sh", "main", F.struct("id", "left", "size", "comp").alias("y"), F.pmod(F.hash("id"), "salts").alias("salt"))
     once = (F.col("y.comp") == F.col("main")) | (F.col("x.id") < F.col("y.id"))  # two outsiders meet twice

@@ -87,7 +87,7 @@ class Splitter:
 class Words(dict):
     """Word -> ids as little-endian bytes. Of the words met last, at least `most` are kept and at most twice as many; words longer than `longest` are not."""
 
-    def __init__(self, model, most: int = 120_000, longest: int = 64):
+    def __init__(self, model, most: int = 250_000, longest: int = 64):
         super().__init__()
         self.tokenize, self.most, self.longest, self.old = model.tokenize, most, longest, {}
         self.alphabet = str.maketrans(byte_characters())
@@ -143,6 +143,8 @@ class Bpe:
 
     def normal(self, text: str) -> str:
         """As the file says, but for the joining of white space, which no word holds. Python's tables are the library's within the Latin blocks."""
+        if text.isascii():
+            return text.lower()
         return unicodedata.normalize("NFC", text).lower() if not LATIN.search(text) and "İ" not in text else self.library.normalizer.normalize_str(text)
 
     def encode(self, text: str | None) -> bytes:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,15 @@ def shuffled_options(options: Column, key: Column) -> Column:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut from its lineage, in spark.checkpoint.dir; in a local session without that setting, in its one process."""
-    sc = df.sparkSession.sparkContext
-    return df.localCheckpoint() if sc.getCheckpointDir() is None and sc.master.startswith("local[") else df.checkpoint()
+    """Cut from its lineage, in spark.checkpoint.dir; where that is unset, in a folder of its own if the session is local, else an error."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="stored-") if sc.master.startswith("local") else None)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def nearest_in_group(df: DataFrame, key: str, group: str, x: str, y: str, most: int = 64) -> DataFrame:

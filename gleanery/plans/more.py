@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis, chunks, slides, transcripts
 from . import fixtures as fx
+from . import visual  # noqa: F401  (registers its queries)
 from .queries import QUERIES, SQL, W, query  # noqa: F401  (registers into the same tables)
 
 

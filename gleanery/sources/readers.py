@@ -205,3 +205,37 @@ def block_sections(blocks: DataFrame) -> DataFrame:
                                      F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("ord", "kind", "text"))), lambda s: s["kind"] != "heading"), lambda s: s["text"]), "\n\n").alias("content"))
     g = g.where("content <> ''").withColumnRenamed("g", "ord")
     return g.withColumn("section_type", T.section_type(F.col("title"))).withColumn("word_count", T.word_count(F.col("content")))
+
+
+# One call for all formats
+
+SECTION = ["doc_id", "ord", "title", "section_type", "content", "word_count"]
+
+
+def parse(spark: SparkSession, path: str, decoders: dict[str, Callable[[bytes], list[tuple[str, int, str]]]] | None = None) -> DataFrame:
+    """Sections (SECTION) of all files under a folder, each read by its extension; `decoders` adds formats (pdf) or replaces the ones for docx and pptx. Files of other kinds
+    give no rows."""
+    read = {"markdown": lambda t: S.split_headers(t), "latex": latex_sections, "notebook": notebook_sections}
+    parts = [f(whole(spark, path, kind)) for kind, f in read.items()]
+    parts += [block_sections(read_binary(spark, path, kind, decode)) for kind, decode in (DECODERS | (decoders or {})).items()]
+    typed = [F.col("ord").cast("long").alias("ord") if c == "ord" else F.col("word_count").cast("long").alias("word_count") if c == "word_count" else F.col(c) for c in SECTION]
+    out = parts[0].select(*typed)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*typed))
+    return out
+
+
+def plain_title(text: Column, named: Column) -> Column:
+    """The title of text without marked fields: the named one, else the first line without header marks if it is below 200 characters."""
+    line = T.strip(F.element_at(F.split(T.strip(F.coalesce(text, F.lit(""))), "\n"), 1))
+    line = F.regexp_replace(line, r"^#+\s*", "")
+    return F.coalesce(F.nullif(named, F.lit("")), F.when(F.length(line) < 200, line), F.lit("Untitled Document"))
+
+
+def plain_authors(text: Column, most: int = 10) -> Column:
+    """The names in the first of the 20 leading lines that holds two capitalised words and then a comma; marks and digits go, names of three characters or fewer too."""
+    lines = F.slice(F.split(T.strip(F.coalesce(text, F.lit(""))), "\n"), 1, 20)
+    named = F.filter(lines, lambda x: F.rlike(x, F.lit(r"[A-Z][a-z]+\s+[A-Z][a-z]+.*,")))
+    names = lambda x: F.filter(F.transform(F.split(F.regexp_replace(x, r"\*+|\d+", ""), r",|\s+and\s+"), lambda a: T.strip(a)), lambda a: F.length(a) > 3)
+    found = F.filter(F.transform(named, names), lambda a: F.size(a) > 0)
+    return F.slice(F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>")), 1, most)

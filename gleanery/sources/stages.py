@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,15 @@ class Stages:
         for n in self.names[self.names.index(name):]:
             p, fs = self._fs(self.path(n))
             fs.delete(p, True)
+
+
+def free_name(name: str, taken: set[str]) -> str:
+    """`name` where it is free; else, for names on "poster", with the next number behind that word, and for others with _1, _2, ... before the extension."""
+    if name not in taken:
+        return name
+    stem, dot, ext = name.rpartition(".") if "." in name[1:] else (name, "", "")
+    numbered = re.fullmatch(r"(.*?poster)(\d*)", stem, re.IGNORECASE)
+    head, n = (numbered[1], int(numbered[2] or 0) + 1) if numbered else (stem + "_", 1)
+    while f"{head}{n}{dot}{ext}" in taken:
+        n += 1
+    return f"{head}{n}{dot}{ext}"

@@ -7,7 +7,7 @@ import pytest
 from gleanery.functions import jsonrepair
 from gleanery.operators import models
 from gleanery.sources import readers as R
-from gleanery.sources.stages import Stages
+from gleanery.sources.stages import Stages, free_name
 from gleanery.streaming import sessions
 from pyspark.sql import functions as F
 
@@ -137,3 +137,29 @@ def test_stream(spark, sf_dir, tmp_path):
     q.awaitTermination()
     batch = sessions.event_sessions(ev)
     assert 0 < spark.table("sess").count() <= batch.count()
+
+
+def test_parse_all_formats(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# One\nfirst words\n# Two\nsecond")
+    (tmp_path / "b.tex").write_text("\\begin{document}\\section{Method}We do.\\end{document}")
+    (tmp_path / "c.pdf").write_bytes(b"any")
+    (tmp_path / "d.bin").write_bytes(b"other")
+    got = R.parse(spark, str(tmp_path), {"pdf": lambda data: [("heading", 1, "Results"), ("paragraph", 0, data.decode())]})
+    assert got.columns == R.SECTION
+    rows = {(r["doc_id"].rsplit("/", 1)[1], r["title"], r["content"]) for r in got.collect()}
+    assert rows == {("a.md", "One", "first words"), ("a.md", "Two", "second"), ("b.tex", "Method", "We do."), ("c.pdf", "Results", "any")}
+
+
+def test_plain_head(spark):
+    texts = [("\n# A Title \nAda Lovelace1, Alan Turing* and Bo\nx", ""), ("x" * 200, ""), (None, None), ("a\n" * 20 + "Ada Lovelace, Alan Turing", "Named")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, t string, n string")
+    got = [(r["title"], r["authors"]) for r in df.select("id", R.plain_title(F.col("t"), F.col("n")).alias("title"), R.plain_authors(F.col("t")).alias("authors")).orderBy("id").collect()]
+    assert got == [("A Title", ["Ada Lovelace", "Alan Turing"]), ("Untitled Document", []), ("", []), ("Named", [])]
+
+
+def test_free_name():
+    assert free_name("a.pdf", set()) == "a.pdf"
+    assert free_name("poster.pdf", {"poster.pdf", "poster1.pdf"}) == "poster2.pdf"
+    assert free_name("My_Poster7.html", {"My_Poster7.html"}) == "My_Poster8.html"
+    assert free_name("a.b.pdf", {"a.b.pdf", "a.b_1.pdf"}) == "a.b_2.pdf"
+    assert free_name("plain", {"plain"}) == "plain_1"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, linededup, mainhtml, matroska, mixing, neardup, pii, tokenfiles, toxicity, warc
+from . import ann, audit, bpe, linededup, mainhtml, matroska, mixing, neardup, pii, tokenfiles, toxicity, warc
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         "op8_mainhtml": mainhtml.op8_mainhtml,
         "op9_pii": pii.op9_pii,
         "op10_media": matroska.op10_media,
+        "op11_filter_audit": audit.op11_filter_audit,
         "op13_line_dedup": linededup.op13_line_dedup,
     }
 
 
 def oracle_sql():
-    return {"op5_neardup": neardup.ORACLE, "op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op13_line_dedup": linededup.ORACLE}
+    return {"op5_neardup": neardup.ORACLE, "op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op11_filter_audit": audit.ORACLE, "op13_line_dedup": linededup.ORACLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, audit, bpe, linededup, mainhtml, matroska, mixing, neardup, pii, tokenfiles, toxicity, warc
+from . import ann, audit, bpe, linededup, mainhtml, matroska, mixing, neardup, pii, repair, tokenfiles, toxicity, warc
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_pii": pii.op9_pii,
         "op10_media": matroska.op10_media,
         "op11_filter_audit": audit.op11_filter_audit,
+        "op12_conversation_repair": repair.op12_conversation_repair,
         "op13_line_dedup": linededup.op13_line_dedup,
     }
 

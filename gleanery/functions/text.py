@@ -32,7 +32,7 @@ NOISE = r"\[.*?\]|\(.*?\)|<[^>]+>|&\w+;|>>\s*"
 
 def strip(text: Column) -> Column:
     """Without white space at either end (trim() takes spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", "")  # a run of white space within the text is tried once, not from each of its characters
 
 
 def words(text: Column) -> Column:

@@ -8,11 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 
-STATE = "struct<done:array<string>,parts:array<string>,n:bigint>"
-
-
 def halves(text: Column) -> Column:
     w = T.words(text)
     n = F.floor(F.size(w) / 2).cast("int")
@@ -21,77 +19,70 @@ def halves(text: Column) -> Column:
 
 # Line openings that mark a change of topic.
 TOPIC = (r"(?i)(?:^|\n)(?:however|in contrast|on the other hand|conversely|next we|we then|we also|we further|to evaluate|for evaluation|we evaluate|we compare|specifically|in particular|more precisely|"
-         r"as shown in|as illustrated|table [0-9]|figure [0-9]|fig\. [0-9]|our key|the main|the primary|importantly|notably)")
+         r"as shown in|as illustrated|table \d|figure \d|fig\. \d|our key|the main|the primary|importantly|notably)")
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """(start, stop) of a pattern's matches, from the lengths of the matches and of the stretches between."""
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
+    pairs = F.zip_with(lengths(F.split(text, pattern, -1)), lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda g, m: F.array(g, F.coalesce(m, F.lit(0))))
+    ends = lambda e: F.transform(F.sequence(F.lit(0), F.floor(F.size(e) / 2).cast("int") - 1), lambda i: F.struct(F.get(e, 2 * i).alias("start"), F.get(e, 2 * i + 1).alias("stop")))
+    every = A.let(A.sums(F.flatten(pairs)), ends)  # the last stretch has no match behind it
+    return F.slice(every, F.lit(1), F.size(every) - 1)
 
 
 def divided(text: Column, margin: int = 50) -> Column:
     """An oversize paragraph in two: at the topic opening nearest the middle, unless that is within the margin of either end; else in halves."""
-    gaps, found = F.transform(F.split(text, TOPIC, -1), lambda g: F.length(g)), F.transform(F.regexp_extract_all(text, F.lit(TOPIC), F.lit(0)), lambda m: F.length(m))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    starts = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: total(F.slice(gaps, 1, i)) + total(F.slice(found, 1, i - 1)))
     mid = F.floor(F.length(text) / 2).cast("int")
-    at = F.when(F.size(found) > 0, F.array_min(F.transform(starts, lambda s: F.struct(F.abs(s - mid).alias("far"), s.alias("at")))))["at"]
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(at.between(F.lit(margin), F.length(text) - margin), F.array(strip(F.substring(text, F.lit(1), at)), strip(F.substring(text, at + 1, F.length(text))))).otherwise(halves(text))
+    nearest = F.array_min(F.transform(spans(text, TOPIC), lambda s: F.struct(F.abs(s["start"] - mid).alias("far"), s["start"].alias("at"))))["at"]
+    cut = lambda at: F.when(at.between(F.lit(margin), F.length(text) - margin), F.array(T.strip(F.substring(text, F.lit(1), at)), T.strip(F.substring(text, at + 1, F.length(text))))).otherwise(halves(text))
+    return A.let(nearest, cut)
 
 
 # Blocks that stay whole, equations and algorithms or code.
 ATOMIC = [r"(\$\$[\s\S]*?\$\$|\\begin\{(?:equation|align|gather|multline)\}[\s\S]*?\\end\{(?:equation|align|gather|multline)\})", r"(\\begin\{algorithm\}[\s\S]*?\\end\{algorithm\}|```[\s\S]*?```)"]
+BLANK = r"\n\s*\n"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """(start, stop) of a pattern's matches, from the lengths of the matches and of the stretches between."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+def inside(starts: Column, blocks: Column) -> Column:
+    """For each of ascending positions, whether a block (start, stop) covers it, ends included: one sweep over blocks and positions in order, which keeps the furthest stop."""
+    event = lambda at, last, stop: F.struct(at.alias("at"), last.alias("position"), stop.alias("stop"))
+    events = F.sort_array(F.concat(F.transform(blocks, lambda b: event(b["start"], F.lit(False), b["stop"])), F.transform(starts, lambda p: event(p, F.lit(True), F.lit(-1)))))
+    reached = lambda es: F.zip_with(es, A.maxima(F.transform(es, lambda e: e["stop"])), lambda e, far: F.when(e["position"], far >= e["at"]))
+    return F.filter(A.let(events, reached), lambda c: c.isNotNull())
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["g"])
-        stop = start + F.length(p["m"])
-        return F.struct(stop.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.aggregate(pairs, state, step, lambda s: s["out"])
+def grouped(parts: Column, lasts: Column) -> Column:
+    """Runs of parts that end at each of `lasts` (places from 0, ascending), joined by blank lines."""
+    run = lambda last, before: F.array_join(F.slice(parts, before + 2, last - before), "\n\n")
+    return F.transform(lasts, lambda last, k: A.let(F.coalesce(F.get(lasts, k - 1), F.lit(-1)), lambda before: run(last, before)))
 
 
 def paragraphs(content: Column) -> Column:
     """A text's paragraphs, between blank lines. One that begins inside an atomic block is held back and goes out with those that follow, up to and with the first that begins
-    outside."""
-    blank = r"\n\s*\n"
-    parts, marks = F.split(content, blank, -1), F.regexp_extract_all(content, F.lit(blank), F.lit(0))
-    blocks = F.concat(*[spans(content, p) for p in ATOMIC])
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("held"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, p: Column) -> Column:
-        inside = F.exists(blocks, lambda b: (b["start"] <= s["at"]) & (s["at"] <= b["stop"]))
-        text = F.concat_ws("\n\n", s["held"], p["t"])
-        return F.struct((s["at"] + F.length(p["t"]) + F.length(F.coalesce(p["m"], F.lit("")))).alias("at"), F.when(inside, text).alias("held"),
-                        F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.array(text))).alias("out"))
-
-    pairs = F.transform(F.arrays_zip(parts.alias("t"), marks.alias("m")), lambda z: F.struct(z["t"].alias("t"), z["m"].alias("m")))
-    done = F.aggregate(pairs, start, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
-    plain = F.split(content, blank, -1)
+    outside. Linear in the text: positions and blocks are computed once and swept."""
+    parts = F.split(content, BLANK, -1)
+    lengths = F.zip_with(F.transform(parts, lambda p: F.length(p)), F.transform(F.regexp_extract_all(content, F.lit(BLANK), F.lit(0)), lambda m: F.length(m)), lambda p, m: p + F.coalesce(m, F.lit(0)))
+    starts = A.let(A.sums(lengths), lambda e: F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)))
+    covered = inside(starts, F.concat(*[spans(content, p) for p in ATOMIC]))
+    lasts = F.filter(F.transform(covered, lambda c, i: F.when(~c, i)), lambda i: i.isNotNull())
+    whole = A.let(parts, lambda ps: A.let(F.array_distinct(F.concat(lasts, F.array(F.size(ps) - 1))), lambda ls: grouped(ps, ls)))
     marked = F.contains(content, F.lit("$$")) | F.contains(content, F.lit("```")) | F.contains(content, F.lit("\\begin{"))
-    return F.filter(F.transform(F.when(marked, done).otherwise(plain), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return F.filter(F.transform(F.when(marked, whole).otherwise(parts), lambda p: T.strip(p)), lambda p: p != "")
 
 
 def pack(content: Column, most: int = 800) -> Column:
     """The chunk texts of a section: whole if short; else paragraphs packed in order, a paragraph over the limit flushing what is packed and going out in two
-    parts, which are not cut again."""
-    paras = paragraphs(content)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("n"))
-    joined = lambda s: F.array(F.array_join(s["parts"], "\n\n"))
-    flushed = lambda s: F.when(F.size(s["parts"]) > 0, F.concat(s["done"], joined(s))).otherwise(s["done"])
-
-    def step(s: Column, p: Column) -> Column:
-        n = T.word_count(p)
-        large = F.struct(F.concat(flushed(s), divided(p)).alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("n"))
-        full = (s["n"] + n > most) & (F.size(s["parts"]) > 0)
-        anew = F.struct(flushed(s).alias("done"), F.array(p).alias("parts"), n.alias("n"))
-        more = F.struct(s["done"].alias("done"), F.concat(s["parts"], F.array(p)).alias("parts"), (s["n"] + n).alias("n"))
-        return F.when(n > most, large).when(full, anew).otherwise(more)
-
-    folded = F.aggregate(paras, start, step, flushed)
-    return F.when(T.word_count(content) <= most, F.array(F.trim(content))).otherwise(folded)
+    parts, which are not cut again. Only word counts are folded: a chunk begins where the count that it would reach passes the limit."""
+    def packed(ps: Column, ws: Column) -> Column:
+        reach = A.scan(ws, F.lit(0), lambda n, w: F.when((n == 0) | (n + w > most), w).otherwise(n + w))
+        first = lambda ns, i: F.get(ns, i) == F.get(ws, i)
+        lasts = A.let(reach, lambda ns: F.filter(F.transform(ws, lambda w, i: F.when((i == F.size(ws) - 1) | first(ns, i + 1), i)), lambda i: i.isNotNull()))
+        whole = lambda ls: F.zip_with(grouped(ps, ls), ls, lambda text, last: F.when(F.get(ws, last) > most, divided(text)).otherwise(F.array(text)))
+        return F.flatten(A.let(lasts, whole))
+
+    folded = A.let(paragraphs(content), lambda ps: A.let(F.transform(ps, lambda p: T.word_count(p).cast("int")), lambda ws: packed(ps, ws)))
+    return F.when(T.word_count(content) <= most, F.array(T.strip(content))).otherwise(folded)
 
 
 def chunk(sections: DataFrame, most: int = 800) -> DataFrame:

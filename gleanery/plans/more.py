@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis, chunks, slides, transcripts
 from . import fixtures as fx
 from . import visual  # noqa: F401  (registers its queries)
-from .queries import QUERIES, SQL, W, query  # noqa: F401  (registers into the same tables)
+from .queries import PARAGRAPHS, QUERIES, SQL, W, query  # noqa: F401  (registers into the same tables)
 
 
 def quoted(words: list[str]) -> str:
@@ -105,7 +105,8 @@ def strongest_in_order(spark, d):
     return analysis.strongest(o, ["o_custkey"], [F.desc("o_totalprice")], "o_orderkey").select("o_custkey", "o_orderkey", "place")
 
 
-@query()
+@query(f"""WITH y AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 5 = 1 THEN '$$' || x WHEN i % 5 = 2 THEN x || '$$' ELSE x END), chr(10) || chr(10)) AS t FROM documents),
+{PARAGRAPHS} SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS n, unnest(ps) AS paragraph FROM ps""")
 def atomic_paragraphs(spark, d):
     """Paragraphs of documents whose every fifth line opens an equation that the next line closes."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("$$"), x)).when(i % 5 == 1, F.concat(x, F.lit("$$"))).otherwise(x))

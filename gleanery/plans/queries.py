@@ -239,8 +239,29 @@ def chunk_documents(spark, d):
     return chunks.chunk(fx.whole_sections(fx.documents(spark, d))).select("doc_id", "chunk_no", "token_count")
 
 
-PACK = f"""x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS ps, len({W('text')}) AS n, trim(text) AS body FROM documents WHERE trim(text) <> ''),
-e AS (SELECT doc_id, n, body, ps, list_transform(ps, lambda p: len({W('p')})) AS ns FROM x),
+ATOMIC_SQL = [a.replace("'", "''") for a in chunks.ATOMIC]
+BLANK_SQL = r"\n\s*\n"
+
+
+def spans_sql(pattern: str) -> str:
+    """(start, stop) of a pattern's matches in t, from the lengths of the matches and of the stretches between."""
+    upto = "coalesce(list_sum(g[1:i]), 0) + coalesce(list_sum(m[1:i - 1]), 0)"
+    return f"""(SELECT list_transform(range(1, len(m) + 1), lambda i: {{'s': {upto}, 'e': {upto} + m[i]}}) FROM
+      (SELECT list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) AS g, list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS m))"""
+
+
+#: y(doc_id, t, ...) -> ps(doc_id, ps): paragraphs between blank lines; what begins inside an atomic block goes out with what follows, up to the first that begins outside.
+PARAGRAPHS = f"""y1 AS (SELECT doc_id, t, regexp_split_to_array(t, '{BLANK_SQL}') AS raw, list_transform(regexp_extract_all(t, '{BLANK_SQL}'), lambda m: length(m)) AS seps,
+    CASE WHEN contains(t, '$$') OR contains(t, '```') OR contains(t, '\\begin{{') THEN list_concat({", ".join(spans_sql(p) for p in ATOMIC_SQL)}) ELSE [] END AS blocks FROM y),
+y2 AS (SELECT *, list_transform(raw, lambda r: length(r)) AS lens FROM y1),
+y3 AS (SELECT *, list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN len(blocks) = 0 THEN -1 ELSE coalesce(list_sum(lens[1:i - 1]), 0) + coalesce(list_sum(seps[1:i - 1]), 0) END) AS starts FROM y2),
+y4 AS (SELECT *, list_distinct(list_append(list_filter(range(1, len(raw) + 1), lambda i: len(list_filter(blocks, lambda b: b.s <= starts[i] AND starts[i] <= b.e)) = 0), len(raw))) AS lasts FROM y3),
+y5 AS (SELECT doc_id, raw, list_sort(lasts) AS lasts FROM y4),
+ps AS (SELECT doc_id, list_filter(list_transform(range(1, len(lasts) + 1), lambda k: regexp_replace(array_to_string(raw[coalesce(lasts[k - 1], 0) + 1:lasts[k]], chr(10) || chr(10)), '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') AS ps FROM y5)"""
+PACK = f"""x AS (SELECT doc_id, text, len({W('text')}) AS n, trim(text) AS body FROM documents WHERE trim(text) <> ''),
+y AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM x WHERE n > 800),
+{PARAGRAPHS},
+e AS (SELECT x.doc_id, n, body, ps, list_transform(ps, lambda p: len({W('p')})) AS ns FROM x LEFT JOIN ps ON ps.doc_id = x.doc_id),
 f AS (SELECT doc_id, n, body, ps, ns, 0 AS i, []::VARCHAR[] AS done, []::VARCHAR[] AS parts, 0::BIGINT AS have FROM e WHERE n > 800 UNION ALL
   SELECT doc_id, n, body, ps, ns, i + 1,
     CASE WHEN ns[i + 1] > 800 THEN list_concat(CASE WHEN len(parts) > 0 THEN list_append(done, array_to_string(parts, chr(10) || chr(10))) ELSE done END, [array_to_string(({W('ps[i + 1]')})[1:ns[i + 1] // 2], ' '), array_to_string(({W('ps[i + 1]')})[ns[i + 1] // 2 + 1:], ' ')])

@@ -178,16 +178,40 @@ def clean_speech(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+# LaTeX commands whose argument is kept, commands that go with their argument, and environments that hold formulas, or nothing to read.
+KEPT = "textbf|textit|emph|textrm|texttt|textsc|underline|text|mathrm"
+DROPPED = "label|ref|eqref|cite|citep|citet|citealt|footnote|footnotemark|footnotetext|vspace|hspace|vskip|hskip|bibliographystyle|bibliography|includegraphics|thanks"
+FORMULAS = "equation|align|gather|multline|eqnarray"
+UNREAD = "figure|table|verbatim|lstlisting|algorithm|algorithmic|tikzpicture|tabular|array|minipage|wrapfigure"
+#: Order counts: formulas before environments, arguments kept or dropped before bare commands, escapes before braces.
+LATEX_STEPS = [
+    (r"(?m)(?<!\\)%[^\n]*$", ""),
+    (rf"\\(?:{KEPT})\{{([^{{}}]*)\}}", "$1"),
+    (rf"(?s)\\begin\{{(?:{FORMULAS})\*?\}}.*?\\end\{{(?:{FORMULAS})\*?\}}", " [eq] "),
+    (r"(?s)\$\$.*?\$\$", " [eq] "),
+    (r"(?<!\\)\$[^$\n]+(?<!\\)\$", " [eq] "),
+    (rf"(?s)\\begin\{{(?:{UNREAD})\*?\}}.*?\\end\{{(?:{UNREAD})\*?\}}", " "),
+    (rf"\\(?:{DROPPED})\*?(?:\[[^\]]*\])*+\{{[^{{}}]*\}}", ""),
+    (r"\\href\{[^{}]*\}\{([^{}]*)\}", "$1"),
+    (r"\\item\s*(?:\[[^\]]*\])?\s*", "\n- "),
+    (r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", ""),
+    (r"\\\\", "\n"),
+    (r"\\([%&_#${}])", "$1"),
+    (r"\\[,;:!]", " "),
+    (r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", ""),
+    (r"[{}]", ""),
+    (r"~", " "),
+    (r"``|''", '"'),
+    (r"`", "'"),
+    (r"---?", "\u2014"),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+]
+
+
 def clean_latex(text: Column) -> Column:
-    """Prose of LaTeX source: comments, labels, citations and markup commands go, arguments of text commands stay."""
-    steps = [
-        (r"(?m)(?<!\\)%.*$", ""), (r"\\(?:label|cite[tp]?|ref|eqref|footnote|vspace|hspace|bibliographystyle|bibliography|includegraphics)\*?(?:\[[^\]]*\])*\{[^{}]*\}", ""),
-        (r"\\begin\{(?:equation|align|figure|table|tabular|algorithm)\*?\}(?s:.*?)\\end\{(?:equation|align|figure|table|tabular|algorithm)\*?\}", " "),
-        (r"\\(?:textbf|textit|emph|texttt|textsc|underline|text|mathrm)\{([^{}]*)\}", "$1"), (r"\\href\{[^{}]*\}\{([^{}]*)\}", "$1"), (r"\\item\s*", "- "),
-        (r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", ""), (r"\\\\", "\n"), (r"\\([%&_#${}])", "$1"), (r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", ""), (r"[{}]", ""), (r"~", " "), (r"``|''", "\""),
-        (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, new in steps:
+    """Prose of LaTeX source: comments, labels, citations and markup commands go, arguments of text commands stay, formulas leave a mark."""
+    for pattern, new in LATEX_STEPS:
         text = F.regexp_replace(text, pattern, new)
     return strip(text)
 

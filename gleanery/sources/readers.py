@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import sections as S
 from ..operators import transcripts
+from .latex import inline_includes, latex_head, latex_sections, tabular  # noqa: F401
 
 EXTENSIONS = {"markdown": "*.{md,markdown,txt}", "latex": "*.tex", "notebook": "*.ipynb", "html": "*.{html,htm}", "video": "*.vtt", "docx": "*.docx", "pptx": "*.pptx", "pdf": "*.pdf"}
 
@@ -43,8 +44,8 @@ def markdown_head(docs: DataFrame) -> DataFrame:
     authors = F.filter(F.transform(F.split(F.regexp_replace(front(t, "authors?"), r"^\[|\]$", ""), ","), lambda a: F.trim(F.regexp_replace(F.trim(a), r"^[\"']|[\"']$", ""))), lambda a: a != "")
     image = r"!\[([^\]]*)\]\(([^)\s]+)[^)]*\)"
     figures = F.zip_with(F.regexp_extract_all(t, F.lit(image), F.lit(1)), F.regexp_extract_all(t, F.lit(image), F.lit(2)), lambda a, b: F.struct(a.alias("caption"), b.alias("path")))
-    tables = F.regexp_extract_all(t, F.lit(r"(?m)((?:^\|[^\n]*\|[ \t]*\n)(?:^\|[ :|-]+\|[ \t]*\n)(?:^\|[^\n]*\|[ \t]*(?:\n|$))+)"), F.lit(1))
-    return docs.select("doc_id", title.alias("title"), authors.alias("authors"), figures.alias("figures"), F.transform(tables, lambda x: F.trim(x)).alias("tables"))
+    tables = F.regexp_extract_all(t, F.lit(r"(?m)((?:^\|[^\n]*\|[ \t]*\n)(?:^\|[ :|-]+\|[ \t]*\n)(?:^\|[^\n]*\|[ \t]*+(?:\n|$))++)"), F.lit(1))  # possessive: rows are not stacked
+    return docs.select("doc_id", title.alias("title"), authors.alias("authors"), figures.alias("figures"), F.transform(tables, lambda x: T.strip(x)).alias("tables"))
 
 
 def read_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -88,50 +89,6 @@ def notebook_sections(docs: DataFrame) -> DataFrame:
     return g.select("doc_id", "ord", F.concat(F.lit("section_"), F.col("ord").cast("string")).alias("section_id"), "title", "content", T.section_type(F.col("title")).alias("section_type"), T.word_count(F.col("content")).alias("word_count"))
 
 
-def latex_head(docs: DataFrame) -> DataFrame:
-    """doc_id, title, authors, abstract of LaTeX source; the author list is split before it is cleaned."""
-    t = F.regexp_replace("text", r"(?m)(?<!\\)%.*$", "")
-    one = lambda cmd: F.regexp_extract(t, r"(?s)\\" + cmd + r"(?:\[[^\]]*\])?\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}", 1)
-    authors = F.filter(F.transform(F.split(one("author"), r"\\and|\\And|,"), lambda a: T.clean_latex(F.regexp_replace(a, r"(?s)\\\\.*$|\\thanks\{[^{}]*\}", ""))), lambda a: a != "")
-    return docs.select("doc_id", T.clean_latex(one("title")).alias("title"), authors.alias("authors"), T.clean_latex(F.regexp_extract(t, r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1)).alias("abstract"))
-
-
-def latex_sections(docs: DataFrame) -> DataFrame:
-    """Sections of three levels: doc_id, ord, section_id, level, title, content, section_type, word_count. Comments go before headers are sought."""
-    t = F.regexp_replace(F.regexp_replace("text", r"(?m)(?<!\\)%.*$", ""), r"(?s)^.*?\\begin\{document\}|\\end\{document\}.*$", "")
-    header = r"\\((?:sub){0,2})section\*?\{((?:[^{}]|\{[^{}]*\})*)\}"
-    parts = F.filter(F.split(t, f"(?={header})"), lambda p: F.rlike(p, F.lit("^" + header)))
-    piece = lambda p: F.array(F.regexp_extract(p, "^" + header, 1), F.regexp_extract(p, "^" + header, 2), F.regexp_replace(p, "^" + header, ""))
-    d = docs.select("doc_id", F.posexplode(F.transform(parts, piece)).alias("i", "p"))
-    d = d.select("doc_id", "i", (F.length(F.col("p")[0]) / 3 + 1).cast("int").alias("level"), T.clean_latex(F.col("p")[1]).alias("title"), T.clean_latex(F.col("p")[2]).alias("content")).where("content <> ''")
-    d = d.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).drop("i")
-    return d.withColumn("section_id", F.concat(F.lit("section_"), F.col("ord").cast("string"))).withColumn("section_type", T.section_type(F.col("title"))).withColumn("word_count", T.word_count(F.col("content")))
-
-
-def tabular(body: Column) -> Column:
-    """A LaTeX tabular as a Markdown table: rows are split before they are cleaned, short rows padded."""
-    rows = F.filter(F.transform(F.split(F.regexp_replace(body, r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^}]*\})", ""), r"\\\\"), lambda r: F.transform(F.split(r, r"(?<!\\)&"), lambda c: T.clean_latex(c))), lambda r: F.array_join(r, "") != "")
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
-    made = F.transform(rows, line)
-    return F.when(F.size(rows) > 0, F.concat_ws("\n", F.element_at(made, 1), rule, F.slice(made, F.lit(2), F.size(made))))
-
-
-def inline_includes(files: DataFrame, main: DataFrame, depth: int = 8) -> DataFrame:
-    """files(name, text), main(doc_id, text): \\input and \\include replaced by the named files, to a depth; missing files by nothing. One join a level, on the name."""
-    out = main.select("doc_id", "text")
-    pattern = r"\\(?:input|include)\{([^}]+)\}"
-    clean = lambda n: F.regexp_replace(n, r"\.tex$", "")
-    f = files.select(clean(F.col("name")).alias("name"), F.col("text").alias("body"))
-    for level in range(depth):
-        parts = out.select("doc_id", F.posexplode(F.arrays_zip(F.split("text", pattern).alias("t"), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("n"))).alias("i", "z"))
-        parts = parts.select("doc_id", "i", "z.t", clean(F.col("z.n")).alias("name")).join(f, "name", "left")
-        body = F.coalesce("body", F.lit("")) if level + 1 < depth else F.lit("")
-        out = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat("t", body).alias("s")))), lambda s: s["s"]), "").alias("text"))
-    return out
-
-
 def read_vtt(spark: SparkSession, path: str) -> DataFrame:
     return transcripts.parse_vtt(whole(spark, path, "video"))
 

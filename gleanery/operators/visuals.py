@@ -96,13 +96,18 @@ def captioned(text: Column, figure_ids: Column) -> Column:
     return F.transform(figure_ids, lambda f, i: F.struct(f.alias("figure_id"), F.when(F.array_position(figure_ids, f) == i + 1, F.element_at(last, f)).alias("caption")))
 
 
-def caption_after(blocks: DataFrame, by: str = "doc_id", order: str = "ord") -> DataFrame:
-    """blocks(by, order, kind, text): each picture with the first paragraph that has text among the next three blocks, if it reads like a caption, else ''."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(1, 3)
+def captions_in(blocks: DataFrame, w) -> DataFrame:
+    """blocks(kind, text, ...) with caption: the first paragraph that has text in the window, if it reads like a caption, else ''."""
     near = F.collect_list(F.when(F.col("kind") == "paragraph", F.nullif(T.strip(F.coalesce("text", F.lit(""))), F.lit("")))).over(w)
     first = F.get(near, F.lit(0))
     like = F.rlike(first, F.lit(CAPTION)) | ((T.word_count(first) <= CAPTION_WORDS) & F.startswith(F.lower(first), F.lit("figure")))
-    return blocks.withColumn("caption", F.when(like, first).otherwise("")).where("kind = 'picture'").select(by, order, "caption")
+    return blocks.withColumn("caption", F.when(like, first).otherwise(""))
+
+
+def caption_after(blocks: DataFrame, by: str = "doc_id", order: str = "ord") -> DataFrame:
+    """blocks(by, order, kind, text): each picture with the caption among the next three blocks."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(1, 3)
+    return captions_in(blocks, w).where("kind = 'picture'").select(by, order, "caption")
 
 
 def body_size(paragraphs: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis, chunks, slides, transcripts
 from . import fixtures as fx
-from . import visual  # noqa: F401  (registers its queries)
+from . import office, visual  # noqa: F401  (register their queries)
 from .queries import PARAGRAPHS, QUERIES, SQL, W, query  # noqa: F401  (registers into the same tables)
 
 
@@ -129,7 +129,9 @@ def deck(spark, d):
 SLIDES = f"""WITH {SHAPES},
 p AS (SELECT *, row_number() OVER (PARTITION BY deck, slide ORDER BY is_title DESC, CASE WHEN is_title THEN 0 ELSE -font END, top, left_, shape_no) AS pick, count(*) OVER (PARTITION BY deck, slide) AS n FROM shapes),
 t AS (SELECT deck, slide, text AS title, font, bullets, n FROM p WHERE pick = 1),
-k AS (SELECT *, CASE WHEN slide <= 1 AND n <= 4 AND font >= 28 THEN 'title' WHEN n <= 2 AND font >= 28 AND NOT bullets THEN 'divider' ELSE 'content' END AS kind FROM t)"""
+k0 AS (SELECT *, slide <= 1 AND n <= 4 AND font >= 28 AS opening FROM t),
+k1 AS (SELECT *, min(CASE WHEN opening THEN slide END) OVER (PARTITION BY deck) AS first FROM k0),
+k AS (SELECT *, CASE WHEN opening THEN CASE WHEN slide = first THEN 'title' ELSE 'content' END WHEN n <= 2 AND font >= 28 AND NOT bullets THEN 'divider' ELSE 'content' END AS kind FROM k1)"""
 
 
 @query(SLIDES + " SELECT deck, slide, title, kind FROM k")

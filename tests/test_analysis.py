@@ -58,8 +58,8 @@ def test_slides(spark):
     df = spark.createDataFrame(rows, "deck int, slide int, shape_no int, text string, left int, top int, font int, is_title boolean, bullets boolean").withColumn("width", F.lit(200_000)).withColumn("height", F.lit(200_000))
     s = slides.slides(slides.shown(df, 10_000_000, 10_000_000))
     assert [(r["deck"], r["slide"], r["title"], r["kind"]) for r in s.orderBy("deck", "slide").collect()] == [
-        (1, 0, "Talk", "title"), (1, 1, "Part one", "title"), (1, 2, "Title", "content"), (1, 3, "Part two", "divider"), (1, 4, "Part two", "content"), (2, 2, "Lone", "content")]
-    assert [(r["deck"], r["section_no"], r["title"], r["content"]) for r in slides.sections(s).orderBy("deck", "section_no").collect()] == [(1, 1, "Overview", "## Title\nfirst\n- second"), (1, 2, "Part two", "body"), (2, 1, "Lone", "")]
+        (1, 0, "Talk", "title"), (1, 1, "Part one", "content"), (1, 2, "Title", "content"), (1, 3, "Part two", "divider"), (1, 4, "Part two", "content"), (2, 2, "Lone", "content")]
+    assert [(r["deck"], r["section_no"], r["title"], r["content"]) for r in slides.sections(s).orderBy("deck", "section_no").collect()] == [(1, 1, "Overview", "## Part one\n\n## Title\nfirst\n- second"), (1, 2, "Part two", "body"), (2, 1, "Lone", "")]
     one = spark.createDataFrame([("A B, Charles Dickens",), ("no names here",), ("word " * 21 + "Ab Cd",)], "t string")
     assert [r[0] for r in one.select(slides.looks_like_authors(F.col("t"))).collect()] == [True, False, False]
     assert spark.range(1).select(slides.hidden(F.array(F.array(F.lit(250), F.lit(250), F.lit(250))), F.array(F.lit(255), F.lit(255), F.lit(255)))).first()[0]

@@ -17,11 +17,14 @@ VENUES = ["NeurIPS", "ICML", "ICLR", "CVPR", "ICCV", "ECCV", "ACL", "EMNLP", "NA
 
 def merged(answers: DataFrame, by: list[str], order: str) -> DataFrame:
     """answers(by, order, title, key_message, bullets, figures) of a section's chunks as one row: the first title and message that aren't empty, bullets in order without
-    repeats (case does not count), figures without repeats. A section's chunks are few, so their lists meet in its row."""
+    repeats (case does not count), figures without repeats, and the provenance (array of structs) of all chunks in order, if there is such a column. A section's chunks are few, so
+    their lists meet in its row."""
     first = lambda c: F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(order, F.col(c).alias("v"))))["v"]
     listed = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(c).alias("v")))), lambda x: F.coalesce(x["v"], F.array().cast("array<string>"))))
-    g = answers.groupBy(*by).agg(F.coalesce(first("title"), F.lit("")).alias("title"), F.coalesce(first("key_message"), F.lit("")).alias("key_message"), listed("bullets").alias("_b"), listed("figures").alias("_f"))
-    return g.select(*by, "title", "key_message", distinct_bullets(F.col("_b")).alias("bullets"), F.array_distinct("_f").alias("figures"))
+    more = "provenance" in answers.columns
+    kept = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("provenance").isNotNull(), F.struct(order, F.col("provenance").alias("v"))))), lambda x: x["v"])) if more else None
+    g = answers.groupBy(*by).agg(*([kept.alias("provenance")] if more else []), F.coalesce(first("title"), F.lit("")).alias("title"), F.coalesce(first("key_message"), F.lit("")).alias("key_message"), listed("bullets").alias("_b"), listed("figures").alias("_f"))
+    return g.select(*by, "title", "key_message", distinct_bullets(F.col("_b")).alias("bullets"), F.array_distinct("_f").alias("figures"), *(["provenance"] if more else []))
 
 
 def distinct_bullets(bullets: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor
+from concurrent.futures import wait as wait_for
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,29 +20,38 @@ def requests(df: DataFrame, prompt: Column, kind: str, keys: list[str]) -> DataF
     return q.groupBy("request_id", "kind", "prompt").agg(F.collect_set(F.struct(*keys)).alias("asked_by"))
 
 
-def call(reqs: DataFrame, provider: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0, known: DataFrame | None = None) -> DataFrame:
+def call(reqs: DataFrame, provider: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0, known: DataFrame | None = None, flight: int = 8) -> DataFrame:
     """request_id, response, error. `provider()` makes a client once a partition; connection errors and timeouts are tried again with growing waits; known responses
-    are not asked for again."""
+    are not asked for again. A partition keeps at most `flight` calls under way: a new prompt is read when one of them is answered, and answers go on as they come. Clients
+    must bear calls from several threads (or set flight to 1)."""
     todo = reqs.join(known.select("request_id"), "request_id", "left_anti") if known is not None else reqs
 
     def run(batches):
         ask = provider()
-        for b in batches:
-            rows = []
-            for rid, prompt in zip(b["request_id"], b["prompt"], strict=True):
-                for n in range(attempts):
-                    try:
-                        rows.append((rid, ask(prompt), None))
-                        break
-                    except (ConnectionError, TimeoutError) as e:
-                        if n + 1 == attempts:
-                            rows.append((rid, None, str(e)))
-                        else:
-                            time.sleep(wait * 2**n)
-                    except Exception as e:  # noqa: BLE001
-                        rows.append((rid, None, str(e)))
-                        break
-            yield pd.DataFrame(rows, columns=["request_id", "response", "error"])
+
+        def answer(rid: str, prompt: str) -> tuple[str, str | None, str | None]:
+            for n in range(attempts):
+                try:
+                    return rid, ask(prompt), None
+                except (ConnectionError, TimeoutError) as e:
+                    if n + 1 == attempts:
+                        return rid, None, str(e)
+                    time.sleep(wait * 2**n)
+                except Exception as e:  # noqa: BLE001  one prompt that fails must not lose the others
+                    return rid, None, str(e)
+            return rid, None, "not tried"
+
+        frame = lambda done: pd.DataFrame([f.result() for f in done], columns=["request_id", "response", "error"])
+        with ThreadPoolExecutor(max_workers=flight) as pool:
+            under_way: set[Future] = set()
+            for b in batches:
+                for rid, prompt in zip(b["request_id"], b["prompt"], strict=True):
+                    if len(under_way) >= flight:
+                        done, under_way = wait_for(under_way, return_when=FIRST_COMPLETED)
+                        yield frame(done)
+                    under_way.add(pool.submit(answer, rid, prompt))
+            if under_way:
+                yield frame(wait_for(under_way).done)
 
     new = todo.select("request_id", "prompt").mapInPandas(run, "request_id string, response string, error string")
     return new if known is None else known.select("request_id", "response", "error").unionByName(new)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import shared_dir
+
 
 def top_k(df: DataFrame, by: list[str], order: list, k) -> DataFrame:
     """The first k of each group in an order; Spark cuts each partition to k before the exchange."""
@@ -61,14 +61,10 @@ def shuffled_options(options: Column, key: Column) -> Column:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut from its lineage, in spark.checkpoint.dir; where that is unset, in a folder of its own if the session is local, else an error."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut from its lineage by a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="stored-") if sc.master.startswith("local") else None)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

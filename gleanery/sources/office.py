@@ -421,3 +421,9 @@ def read_pptx(spark: SparkSession, path: str, least_px: int = LEAST["pptx"]) ->
     return {"documents": S.title_metadata(seen, made), "slides": made, "sections": S.sections(made), "errors": of_kind(e, "error", message="string").select("doc_id", "message"),
             "figures": figures.select("deck", F.concat(F.lit("fig_"), F.col("no").cast("string")).alias("figure_id"), "slide", "path", "caption"),
             "tables": charts.select("deck", F.concat(F.lit("table_"), F.col("no").cast("string")).alias("table_id"), "slide", "caption", "content")}
+
+
+def deck_sections(spark: SparkSession, path: str) -> DataFrame:
+    """Sections of all PPTX files under a folder, as documents: doc_id, ord, title, section_type, content, word_count."""
+    s = read_pptx(spark, path)["sections"]
+    return s.select(F.col("deck").alias("doc_id"), F.col("section_no").alias("ord"), "title", T.section_type(F.col("title")).alias("section_type"), "content", T.word_count(F.col("content")).alias("word_count"))

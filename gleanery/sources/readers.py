@@ -15,9 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import media
 from ..functions import text as T
 from ..operators import sections as S
 from ..operators import transcripts
+from . import office, pages
+from .images import LEAST, sized
 from .latex import inline_includes, latex_head, latex_sections, tabular  # noqa: F401
 
 EXTENSIONS = {"markdown": "*.{md,markdown,txt}", "latex": "*.tex", "notebook": "*.ipynb", "html": "*.{html,htm}", "video": "*.vtt", "docx": "*.docx", "pptx": "*.pptx", "pdf": "*.pdf"}
@@ -164,22 +167,77 @@ def block_sections(blocks: DataFrame) -> DataFrame:
     return g.withColumn("section_type", T.section_type(F.col("title"))).withColumn("word_count", T.word_count(F.col("content")))
 
 
-# One call for all formats
+# Notebooks: heads and pictures
+
+def notebook_heads(docs: DataFrame) -> DataFrame:
+    """doc_id, title, authors. The Markdown before the first header (or with it) names a notebook: its YAML head, else its first level-1 header; else the first section's title, else
+    the file's name."""
+    c = notebook_cells(docs).where("kind = 'markdown'")
+    w = Window.partitionBy("doc_id").orderBy("cell")
+    header = F.rlike("source", F.lit(r"(?m)^#{1,6}\s+\S"))
+    c = c.withColumn("_before", F.coalesce(F.sum(header.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_before = 0")
+    lead = c.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "source"))), lambda s: s["source"]), "\n").alias("_lead"))
+    field = lambda key: F.trim(F.regexp_extract(F.regexp_extract("_lead", r"(?s)^---\s*\n(.*?)\n---", 1), rf"(?m)^{key}:\s*['\"]?([^'\"\n]+)", 1))
+    first = notebook_sections(docs).groupBy("doc_id").agg(F.min_by("title", "ord").alias("_first"))
+    stem = F.initcap(F.regexp_replace(F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]*?)(?:\.ipynb)?$", 1), "[_-]", " "))
+    some = lambda x: F.nullif(x, F.lit(""))
+    j = docs.select("doc_id").join(lead, "doc_id", "left").join(first, "doc_id", "left")
+    h1 = F.trim(F.regexp_extract("_lead", r"(?m)^#[ \t]+(.+)$", 1))
+    return j.select("doc_id", F.coalesce(some(field("title")), some(h1), "_first", stem).alias("title"), F.coalesce(field("authors?"), F.lit("")).alias("authors"))
+
+
+def notebook_pictures(docs: DataFrame, least_px: int = LEAST["notebook"]) -> DataFrame:
+    """doc_id, figure_id, cell, kind, content (bytes), width, height: pictures of outputs, PNG before JPEG, those below `least_px` left out (unknown sizes stay) without a number."""
+    o = notebook_cells(docs).select("doc_id", "cell", F.posexplode("outputs").alias("n", "o")).where("o.kind in ('display_data', 'execute_result')")
+    coded = lambda mime: F.nullif(F.regexp_replace(F.coalesce(F.array_join(F.from_json(F.col("o.data")[mime], "array<string>"), ""), F.col("o.data")[mime]), r"\s+", ""), F.lit(""))
+    raw = F.coalesce(F.when(coded("image/png").isNotNull(), F.struct(F.lit("png").alias("kind"), F.try_to_binary(coded("image/png"), F.lit("base64")).alias("content"))),
+                     F.when(coded("image/jpeg").isNotNull(), F.struct(F.lit("jpg").alias("kind"), F.try_to_binary(coded("image/jpeg"), F.lit("base64")).alias("content"))))
+    p = o.withColumn("p", raw).where("p.content is not null").select("doc_id", "cell", "n", "p.kind", "p.content", F.col("p.content").alias("_data"))
+    s = sized(p, "_data", ("doc_id", "cell", "n", "kind", "content")).where(media.large_enough(F.col("width"), F.col("height"), least_px, None))
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("cell", "n"))
+    return s.select("doc_id", F.concat(F.lit("fig_"), no.cast("string")).alias("figure_id"), "cell", "kind", "content", "width", "height")
 
-SECTION = ["doc_id", "ord", "title", "section_type", "content", "word_count"]
 
+# One call for all formats
 
-def parse(spark: SparkSession, path: str, decoders: dict[str, Callable[[bytes], list[tuple[str, int, str]]]] | None = None) -> DataFrame:
-    """Sections (SECTION) of all files under a folder, each read by its extension; `decoders` adds formats (pdf) or replaces the ones for docx and pptx. Files of other kinds
-    give no rows."""
-    read = {"markdown": lambda t: S.split_headers(t), "latex": latex_sections, "notebook": notebook_sections}
-    parts = [f(whole(spark, path, kind)) for kind, f in read.items()]
-    parts += [block_sections(read_binary(spark, path, kind, decode)) for kind, decode in (DECODERS | (decoders or {})).items()]
+SECTION = ["doc_id", "ord", "title", "section_type", "content", "word_count"]
+OWN_KINDS = ["markdown", "latex", "notebook", "html", "docx", "pptx", "video"]
+
+
+def vtt_sections(docs: DataFrame) -> DataFrame:
+    """A transcript as sections: labels by time, moved on by phrases, never back; runs of a label, short ones merged."""
+    segs = transcripts.parse_vtt(docs)
+    end = Window.partitionBy("doc_id")
+    share = F.col("start") / F.max(F.col("start") + F.col("duration")).over(end)
+    t = segs.withColumn("idx", transcripts.advanced(transcripts.label_index(F.coalesce(share, F.lit(0.0))), F.col("text")))
+    t = transcripts.monotone(t, "doc_id", ["seg_no"]).withColumn("label", F.get(F.array(*map(F.lit, transcripts.LABELS)), F.col("idx")))
+    r = transcripts.runs(t, "doc_id", ["seg_no"], "label").groupBy("doc_id", "run").agg(F.first("label").alias("label"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"]), " ").alias("content"))
+    s = transcripts.merge_short(r.withColumn("content", T.clean_speech(F.col("content"))), "doc_id", "run")
+    return s.select("doc_id", F.col("section_no").alias("ord"), "title", T.section_type(F.col("title")).alias("section_type"), "content", "word_count")
+
+
+def parse(spark: SparkSession, path: str, decoders: dict[str, Callable[[bytes], list[tuple[str, int, str]]]] | None = None, errors: bool = True) -> DataFrame:
+    """Sections (SECTION) of all files under a folder, each read by its extension; `decoders` adds formats (pdf) or replaces the readers of docx and pptx. With `errors`, files of
+    other kinds, damaged ones and those without any section give one row of section_type error, whose title says why (files of no bytes are not listed)."""
+    mine = decoders or {}
+    html = lambda: S.split_headers(pages.read_pages(spark, path).select("doc_id", "text"))
+    readers = {"markdown": lambda: S.split_headers(whole(spark, path, "markdown")), "latex": lambda: latex_sections(whole(spark, path, "latex"), with_abstract=True), "notebook": lambda: notebook_sections(whole(spark, path, "notebook")),
+               "html": html, "video": lambda: vtt_sections(whole(spark, path, "video")), "docx": lambda: office.read_docx(spark, path)["sections"], "pptx": lambda: office.deck_sections(spark, path)}
+    readers |= {kind: (lambda k=kind, f=decode: block_sections(read_binary(spark, path, k, f))) for kind, decode in mine.items()}
     typed = [F.col("ord").cast("long").alias("ord") if c == "ord" else F.col("word_count").cast("long").alias("word_count") if c == "word_count" else F.col(c) for c in SECTION]
-    out = parts[0].select(*typed)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*typed))
-    return out
+    out = None
+    for read in readers.values():
+        p = read().select(*typed)
+        out = p if out is None else out.unionByName(p)
+    if not errors:
+        return out
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("doc_id"))
+    kind = F.coalesce(T.source_format(F.col("doc_id")), F.lit(""))
+    known = kind.isin(list(readers))
+    why = F.when(known, "no sections").otherwise(F.concat(F.lit("no reader for "), F.coalesce(F.nullif(F.lower(F.regexp_extract("doc_id", r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("files without extension"))))
+    lost = files.join(out.select("doc_id").distinct(), "doc_id", "left_anti")
+    bad = lost.select("doc_id", F.lit(0).cast("long").alias("ord"), why.alias("title"), F.lit("error").alias("section_type"), F.lit("").alias("content"), F.lit(0).cast("long").alias("word_count"))
+    return out.unionByName(bad)
 
 
 def plain_title(text: Column, named: Column) -> Column:

@@ -147,7 +147,7 @@ def test_parse_all_formats(spark, tmp_path):
     got = R.parse(spark, str(tmp_path), {"pdf": lambda data: [("heading", 1, "Results"), ("paragraph", 0, data.decode())]})
     assert got.columns == R.SECTION
     rows = {(r["doc_id"].rsplit("/", 1)[1], r["title"], r["content"]) for r in got.collect()}
-    assert rows == {("a.md", "One", "first words"), ("a.md", "Two", "second"), ("b.tex", "Method", "We do."), ("c.pdf", "Results", "any")}
+    assert rows == {("a.md", "One", "first words"), ("a.md", "Two", "second"), ("b.tex", "Method", "We do."), ("c.pdf", "Results", "any"), ("d.bin", "no reader for bin", "")}
 
 
 def test_plain_head(spark):

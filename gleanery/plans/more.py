@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis, chunks, slides, transcripts
 from . import fixtures as fx
-from . import answers, feedback, office, visual  # noqa: F401  (register their queries)
+from . import answers, feedback, office, plan, visual  # noqa: F401  (register their queries)
 from .queries import PARAGRAPHS, QUERIES, SQL, W, query  # noqa: F401  (registers into the same tables)
 
 

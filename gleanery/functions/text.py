@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # Section title keywords and their types, looked up in this order.
 SECTION_TYPES = [
     ("abstract", "abstract"), ("introduction", "introduction"), ("background", "background"), ("related work", "background"), ("literature review", "background"), ("prior work", "background"),
@@ -61,15 +63,15 @@ def drop_controls(text: Column) -> Column:
 def section_type(title: Column) -> Column:
     """Exact key, else the first listed key that the title contains, else other; leading numbering is dropped."""
     t = F.trim(F.regexp_replace(F.lower(F.trim(title)), r"^[0-9.\-) ]+", ""))
+    known = F.create_map(*[F.lit(x) for k, v in reversed(dict(SECTION_TYPES).items()) for x in (k, v)])
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in SECTION_TYPES])
-    exact = F.filter(pairs, lambda p: p["k"] == t)
-    inside = F.filter(pairs, lambda p: F.contains(t, p["k"]))
-    return F.coalesce(F.try_element_at(exact, F.lit(1))["v"], F.try_element_at(inside, F.lit(1))["v"], F.lit("other"))
+    inside = lambda b: F.try_element_at(F.filter(pairs, lambda p: F.contains(b, p["k"])), F.lit(1))["v"]
+    return let(t, lambda b: F.coalesce(F.try_element_at(known, b), inside(b), F.lit("other")))
 
 
 def is_boilerplate(title: Column) -> Column:
-    t = F.lower(F.trim(title))
-    return F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda k: F.contains(t, k))
+    words = F.array(*map(F.lit, BOILERPLATE))
+    return let(F.lower(F.trim(title)), lambda t: F.exists(words, lambda k: F.contains(t, k)))
 
 
 def slugify(text: Column, most: int = 60) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
+from ..functions import text as T
 from ..sources.stages import shared_dir
 
 
@@ -105,3 +107,30 @@ def nearest_in_group(df: DataFrame, key: str, group: str, x: str, y: str, most:
     for d in done[1:]:
         out = out.unionByName(d)
     return out.groupBy("key").agg(F.min_by("nearest", F.struct("dist", "nearest")).alias("nearest"))
+
+
+FEW_PASSAGES = 4096
+
+
+def grounded(docs: DataFrame, passages: DataFrame, doc: str, item: str, most: int = FEW_PASSAGES) -> DataFrame:
+    """(item, doc) of passages(item, passage) that docs(doc, text) hold whole. Passages of seven words or more are sought by a hash of five of their inner words (their first and last may
+    be parts of longer words in a text); the text decides. Up to `most` passages (counted, so what is sent to the tasks is bounded) are matched within a document's row; of more,
+    hashes meet in a join, and shorter passages are compared with every text."""
+    p = passages.where(F.col("passage").isNotNull()).withColumn("_w", T.words(F.col("passage")))
+    hashed = lambda ws: F.xxhash64(F.array_join(ws, " "))
+    p = p.select(item, "passage", F.when(F.size("_w") >= 7, hashed(F.slice("_w", 2, 5))).alias("_key"))
+    windows = A.let(T.words(F.col("text")), lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 4, F.lit(1))), lambda i: hashed(F.slice(ws, i, 5))))
+    d = docs.where(F.col("text").isNotNull())
+    if p.limit(most + 1).count() > most:
+        keys = d.select(doc, F.explode(F.array_distinct(windows)).alias("_key"))
+        met = keys.join(p.where("_key is not null"), "_key").select(item, "passage", doc).join(d.select(doc, "text"), doc)
+        whole = met.where(F.contains("text", "passage")).select(item, doc)
+        return whole.unionByName(d.join(F.broadcast(p.where("_key is null").drop("_key")), F.contains("text", "passage")).select(item, doc)) if not p.where("_key is null").isEmpty() else whole
+    short = [r["passage"] for r in p.where("_key is null").select("passage").distinct().collect()]
+    known = [r["_key"] for r in p.where("_key is not null").select("_key").distinct().collect()]
+    keys = F.array_intersect(windows, F.array(*map(F.lit, known)).cast("array<bigint>")) if known else F.array().cast("array<bigint>")
+    texts = F.filter(F.array(*map(F.lit, short)), lambda s: F.contains("text", s)) if short else F.array().cast("array<string>")
+    hits = d.select(doc, "text", keys.alias("_k"), texts.alias("_s"))
+    long_ = hits.where(F.size("_k") > 0).select(doc, "text", F.explode("_k").alias("_key")).join(F.broadcast(p.where("_key is not null")), "_key").where(F.contains("text", "passage"))
+    brief = hits.select(doc, F.explode("_s").alias("passage")).join(F.broadcast(p.where("_key is null")), "passage")
+    return long_.select(item, doc).unionByName(brief.select(item, doc))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 
 # Labels in order, and the share of the talk from which each holds.
@@ -41,24 +41,24 @@ def sessions(segments: DataFrame, by: str, pause: float = PAUSE) -> DataFrame:
 
 def paragraphs(segments: DataFrame, by: str, pause: float = PAUSE, budget: int = BUDGET) -> DataFrame:
     """segments(by, ord, text, start, duration) -> by, para, start, segments, words. A paragraph closes after a pause (if more than a quarter of the segments have a
-    time), at the word budget, or at the end. The budget restarts at each close, so this is a fold in order; a transcript is one task's group."""
-    kind = segments.schema[by].dataType.simpleString()
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start", "ord"], kind="stable")
-        timed = (g["start"] > 0.01).sum() > len(g) // 4
-        out, words, n, start = [], 0, 0, None
-        rows = list(zip(g["text"], g["start"], g["duration"], strict=True))
-        for i, (text, at, length) in enumerate(rows):
-            start = at if start is None else start
-            words, n = words + len((text or "").split()), n + 1
-            gap = rows[i + 1][1] - (at + length) if timed and i + 1 < len(rows) else 0.0
-            if gap > pause or words >= budget or i + 1 == len(rows):
-                out.append((g[by].iloc[0], len(out) + 1, float(start), n, words))
-                words, n, start = 0, 0, None
-        return pd.DataFrame(out, columns=[by, "para", "start", "segments", "words"])
-
-    return segments.groupBy(by).applyInPandas(fold, f"{by} {kind}, para int, start double, segments int, words int")
+    time), at the word budget, or at the end. The budget restarts at each close, so word counts are folded in order, within a row of numbers for each transcript."""
+    w = Window.partitionBy(by).orderBy("start", "ord")
+    s = segments.select(by, "ord", "start", T.word_count(F.col("text")).cast("int").alias("n"), F.coalesce(F.lead("start").over(w) - (F.col("start") + F.col("duration")) > pause, F.lit(False)).alias("gap"))
+    g = s.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("start", "ord", "n", "gap"))).alias("a"), (F.sum((F.col("start") > 0.01).cast("int")) > F.floor(F.count(F.lit(1)) / 4)).alias("timed"))
+    full = lambda n, x: F.when((x["gap"] & F.col("timed")) | (n >= budget), -1).otherwise(n)
+    have = A.scan(F.col("a"), F.lit(0), lambda last, x: full(F.greatest(last, F.lit(0)) + x["n"], x))  # words so far, or -1 where a paragraph closes
+    g = g.withColumn("para", A.let(have, lambda h: A.sums(F.transform(h, lambda n, i: F.when((i > 0) & (F.get(h, i - 1) == -1), 1).otherwise(0)))))
+    z = g.select(by, F.explode(F.arrays_zip("a", "para")).alias("z"))
+    out = z.groupBy(by, (F.col("z.para") + 1).alias("para")).agg(F.min("z.a.start").alias("start"), F.count(F.lit(1)).cast("int").alias("segments"), F.sum("z.a.n").cast("int").alias("words"))
+    return out.select(by, F.col("para").cast("int").alias("para"), F.col("start").cast("double").alias("start"), "segments", "words")
+
+
+def with_share(segments: DataFrame, by: str, least: float = 30.0) -> DataFrame:
+    """segments(by, ord, start, duration) with share: the place in the talk, by time where it lasts longer than `least` seconds (to the last end of what begins after 0), else in order."""
+    w, whole = Window.partitionBy(by).orderBy("start", "ord"), Window.partitionBy(by)
+    total = F.coalesce(F.max(F.when(F.col("start") > 0, F.col("start") + F.col("duration"))).over(whole), F.lit(0.0))
+    order = (F.row_number().over(w) - 1) / F.greatest(F.count(F.lit(1)).over(whole) - 1, F.lit(1))
+    return segments.withColumn("_t", total).withColumn("share", F.when(F.col("_t") > least, F.least(F.col("start") / F.col("_t"), F.lit(1.0))).otherwise(order)).drop("_t")
 
 
 def label_index(share: Column) -> Column:

@@ -23,7 +23,7 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            more = ", " if sql.startswith("x AS") else " "
+            more = ", " if not sql.startswith("SELECT") else " "
             SQL[f.__name__] = f"WITH RECURSIVE {', '.join(fx.VIEWS[v] for v in views)}{more}{sql}" if views else sql
         return f
 
@@ -59,9 +59,9 @@ def head_mid_tail_sample(spark, d):
     return fx.documents(spark, d).select("doc_id", T.head_middle_tail(F.col("text"), 200).alias("sample"))
 
 
-@query(r"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 80))), '[^\pL\pM\pN_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60) AS slug FROM documents""")
+@query(r"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(trim(text)), '[^\pL\pM\pN_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60) AS slug FROM documents""")
 def slugify(spark, d):
-    return fx.documents(spark, d).select("doc_id", T.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return fx.documents(spark, d).select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query(r"""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: array_to_string((list_filter(regexp_split_to_array(regexp_replace(trim(l), '\.+$', ''), '\s+'), lambda x: x <> ''))[1:10], ' ')),
@@ -213,9 +213,13 @@ def column_layout(spark, d):
     return p.select("doc_id", "ord", "col", "row_in_col", F.round("h", 6).alias("h"), F.round("y", 6).alias("y"))
 
 
-@query()
+@query(f"""{MD_SECTIONS}, {TYPED}, {PANELS}, {ASSIGN},
+w AS (SELECT doc_id, col, list(ord ORDER BY ord) AS ords, list(weight::DOUBLE ORDER BY ord) AS cur, sum(weight::DOUBLE) * 0.48 AS top, 0 AS r FROM a GROUP BY doc_id, col UNION ALL
+  SELECT doc_id, col, ords, CASE WHEN over <= 1e-9 OR free <= 0 OR len(cur) < 3 THEN cur ELSE list_transform(cur, lambda x: CASE WHEN x >= top THEN top ELSE x * (free + over) / free END) END, top, r + 1
+  FROM (SELECT *, list_sum(list_transform(cur, lambda x: greatest(x - top, 0.0))) AS over, list_sum(list_transform(cur, lambda x: CASE WHEN x < top THEN x ELSE 0.0 END)) AS free FROM w WHERE r < 20))
+SELECT doc_id, col, unnest(ords) AS ord, round(unnest(cur), 6) AS flex FROM w WHERE r = 20""", ("md",))
 def flex_clamp(spark, d):
-    return layout.clamp_flex(layout.assign_columns(panels(spark, d))).withColumn("flex", F.round("flex", 6))
+    return layout.clamp_flex(layout.assign_columns(panels(spark, d))).select("doc_id", "col", "ord", F.round("flex", 6).alias("flex"))
 
 
 @query(f"""{MD_SECTIONS}, {TYPED}, {PANELS}, i AS (SELECT doc_id, ord, src, list_filter(['overflow', 'too_blank', 'visual_too_small', 'visual_too_large'], lambda n, k: (ord + k - 1 + doc_id) % 3 = 0) AS iss FROM q),
@@ -366,11 +370,11 @@ def page_paragraphs(spark, d):
     return p.select("page_id", (F.col("i") + 1).alias("n"), F.trim(F.regexp_replace(F.regexp_replace("p", r"(?s)</p>.*$", ""), "<[^>]+>", "")).alias("lead"))
 
 
-@query("""SELECT doc_id, CAST(1 AS INTEGER) AS panel_no, 'Panel ' || doc_id AS title, trim(regexp_replace(ls[1], '<[^>]+>', '', 'g')) AS lead, list_filter(list_transform(ls[2:3], lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), lambda b: b <> '') AS bullets
+@query("""SELECT doc_id, CAST(1 AS INTEGER) AS panel_no, 'Panel ' || doc_id AS title, trim(regexp_replace(ls[1], '<[^>]+>', '', 'g')) AS lead, list_filter(list_transform(ls[2:], lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), lambda b: b <> '') AS bullets
 FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)""")
 def html_panels(spark, d):
     ls = F.split("text", "\n")
-    items = F.array_join(F.transform(F.slice(ls, 2, 2), lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "")
+    items = F.array_join(F.transform(F.slice(ls, F.lit(2), F.greatest(F.size(ls) - 1, F.lit(0))), lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "")
     html = F.concat(F.lit('<h1>x</h1><div class="panel wide"><div class="panel-title">Panel '), F.col("doc_id").cast("string"), F.lit('</div><p class="lead-para">'), ls[0], F.lit("</p><ul>"), items, F.lit("</ul></div>"))
     return sections.poster_panels(fx.documents(spark, d).select("doc_id", html.alias("html"))).select("doc_id", "panel_no", "title", "lead", "bullets")
 
@@ -383,19 +387,25 @@ def segment_gap_sessions(spark, d):
     return transcripts.sessions(fx.segments(fx.table(spark, d, "events")), "user_id").select("user_id", "ord", "session")
 
 
-@query()
+@query("""e AS (SELECT user_id, row_number() OVER w AS i, start, coalesce(lead(start) OVER w - (start + duration) > 86400.0, true) AS gap, count(*) OVER (PARTITION BY user_id) AS n, sum(CASE WHEN start > 0.01 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS timed,
+  lead(start) OVER w IS NULL AS final FROM segments WINDOW w AS (PARTITION BY user_id ORDER BY start, ord)),
+c AS (SELECT user_id, i, start, final OR (gap AND timed > n // 4) AS cut FROM e),
+f AS (SELECT user_id, 1::BIGINT AS i, start AS first, 1 AS have, 1 AS para, start AS at, cut OR 1 >= 5 AS close FROM c WHERE i = 1 UNION ALL
+  SELECT f.user_id, c.i, CASE WHEN f.close THEN c.start ELSE f.first END, CASE WHEN f.close THEN 1 ELSE f.have + 1 END, CASE WHEN f.close THEN f.para + 1 ELSE f.para END, c.start, c.cut OR CASE WHEN f.close THEN 1 ELSE f.have + 1 END >= 5
+  FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i + 1)
+SELECT user_id, CAST(para AS INTEGER) AS para, first AS start, CAST(have AS INTEGER) AS segments, CAST(have AS INTEGER) AS words FROM f WHERE close""", ("segments",))
 def segment_paragraphs(spark, d):
     return transcripts.paragraphs(fx.segments(fx.table(spark, d, "events")), "user_id", pause=86_400.0, budget=5)
 
 
-LABELLED = """x AS (SELECT user_id, ord, start, start / nullif(max(start) OVER (PARTITION BY user_id), 0) AS share FROM segments),
+LABELLED = """x0 AS (SELECT user_id, ord, start, coalesce(max(CASE WHEN start > 0 THEN start + duration END) OVER (PARTITION BY user_id), 0) AS total, row_number() OVER (PARTITION BY user_id ORDER BY start, ord) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM segments),
+x AS (SELECT user_id, ord, start, CASE WHEN total > 30 THEN least(start / total, 1.0) ELSE i / greatest(n - 1, 1) END AS share FROM x0),
 i AS (SELECT user_id, ord, start, CASE WHEN s >= 0.88 THEN 5 WHEN s >= 0.72 THEN 4 WHEN s >= 0.52 THEN 3 WHEN s >= 0.28 THEN 2 WHEN s >= 0.15 THEN 1 ELSE 0 END AS idx FROM (SELECT user_id, ord, start, coalesce(share, 0) AS s FROM x))"""
 
 
 def labelled(spark, d) -> DataFrame:
     s = fx.segments(fx.table(spark, d, "events"))
-    most = F.max("start").over(Window.partitionBy("user_id"))
-    return s.withColumn("idx", transcripts.label_index(F.coalesce(F.col("start") / F.nullif(most, F.lit(0.0)), F.lit(0.0))))
+    return transcripts.with_share(s, "user_id").withColumn("idx", transcripts.label_index(F.col("share")))
 
 
 @query(f"{LABELLED} SELECT user_id, ord, CAST(idx AS INTEGER) AS idx FROM i", ("segments",))
@@ -496,17 +506,9 @@ def nearest_caption(spark, d):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def verbatim_grounding(spark, d):
-    """Passages found whole in documents. Candidates meet on a passage's first five words (an equality join), then the text decides."""
-    key = lambda ws: F.array_join(F.slice(ws, 1, 5), " ")
+    """Passages found whole in documents."""
     b = fx.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    b = b.withColumn("ws", T.words(F.col("passage")))
-    inner = b.where(F.size("ws") >= 7).withColumn("key", F.array_join(F.slice("ws", 2, 5), " "))  # the first and last words may be parts of longer ones
-    short = b.where(F.size("ws") < 7).select("item_id", "passage")
-    docs = fx.documents(spark, d).select("doc_id", "text").withColumn("ws", T.words(F.col("text")))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 4, F.lit(1))), lambda i: F.array_join(F.slice("ws", i, 5), " ")))).alias("key"))
-    met = keys.join(inner.select("item_id", "passage", "key"), "key").select("item_id", "passage", "doc_id").distinct()
-    long_ = met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    return long_.unionByName(docs.join(short, F.contains("text", "passage")).select("item_id", "doc_id"))
+    return selection.grounded(fx.documents(spark, d).select("doc_id", "text"), b, "doc_id", "item_id")
 
 
 PALETTE = ["#0B3D91", "#F2F2F2", "#1A1A1A", "#FF8800", "#7FB069", "#E4572E"]

@@ -207,9 +207,8 @@ OWN_KINDS = ["markdown", "latex", "notebook", "html", "docx", "pptx", "video"]
 def vtt_sections(docs: DataFrame) -> DataFrame:
     """A transcript as sections: labels by time, moved on by phrases, never back; runs of a label, short ones merged."""
     segs = transcripts.parse_vtt(docs)
-    end = Window.partitionBy("doc_id")
-    share = F.col("start") / F.max(F.col("start") + F.col("duration")).over(end)
-    t = segs.withColumn("idx", transcripts.advanced(transcripts.label_index(F.coalesce(share, F.lit(0.0))), F.col("text")))
+    shared = transcripts.with_share(segs.withColumn("ord", F.col("seg_no")), "doc_id")
+    t = shared.withColumn("idx", transcripts.advanced(transcripts.label_index(F.col("share")), F.col("text")))
     t = transcripts.monotone(t, "doc_id", ["seg_no"]).withColumn("label", F.get(F.array(*map(F.lit, transcripts.LABELS)), F.col("idx")))
     r = transcripts.runs(t, "doc_id", ["seg_no"], "label").groupBy("doc_id", "run").agg(F.first("label").alias("label"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"]), " ").alias("content"))
     s = transcripts.merge_short(r.withColumn("content", T.clean_speech(F.col("content"))), "doc_id", "run")

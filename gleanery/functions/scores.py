@@ -45,6 +45,25 @@ def model_means(scores: DataFrame) -> DataFrame:
     return per.groupBy("doc_id").agg(F.avg("overall").alias("overall"), F.avg("raw").alias("raw"), F.count(F.lit(1)).alias("models"))
 
 
+def reader_means(scores: DataFrame, lengths: DataFrame) -> DataFrame:
+    """quiz_scores and lengths(doc_id, words) -> doc_id and the unweighted means over models of the accuracies of both kinds of questions, the score, the accuracy over both, and the
+    score augmented by density. A model without questions of a kind has accuracy 0 in it; a document without a length counts as empty."""
+    kind = lambda name: F.coalesce(F.max(F.when(F.col("qtype") == name, F.col("accuracy"))), F.lit(0.0))
+    per = scores.groupBy("doc_id", "model").agg(kind("verbatim").alias("v"), kind("interpretive").alias("i"), F.sum("correct").alias("score"), F.sum("total").alias("total"))
+    j = per.join(lengths.select("doc_id", "words"), "doc_id", "left")
+    j = j.withColumn("accuracy", F.col("score") / F.greatest(F.lit(1), F.col("total"))).withColumn("aug", density_score(F.col("score"), F.coalesce("words", F.lit(0))))
+    return j.groupBy("doc_id").agg(F.avg("v").alias("verbatim_raw"), F.avg("i").alias("interpretive_raw"), F.avg("score").alias("overall_score"), F.avg("accuracy").alias("overall_accuracy"), F.avg("aug").alias("overall_aug"))
+
+
+def visual_perplexity(panels: DataFrame, images: DataFrame, by: str = "doc_id", panel: str = "panel") -> DataFrame:
+    """panels(by, panel, text), images(panel, ppl) -> by, visual_ppl: the mean over the images of panels that have text; 0 where there are none, null where an image has no value."""
+    p = panels.select(by, panel, F.coalesce(F.col("text") != "", F.lit(False)).alias("said"))
+    j = p.join(images.select(F.col(panel), "ppl", F.lit(1).alias("_i")), panel, "left")
+    counted = F.col("said") & F.col("_i").isNotNull()
+    g = j.groupBy(by).agg(F.avg(F.when(counted, F.col("ppl"))).alias("m"), F.sum(F.when(counted, 1).otherwise(0)).alias("n"), F.sum(F.when(counted & F.col("ppl").isNull(), 1).otherwise(0)).alias("unknown"))
+    return g.select(by, F.when(F.col("n") == 0, 0.0).when(F.col("unknown") == 0, F.col("m")).alias("visual_ppl"))
+
+
 def judge_means(scores: DataFrame) -> DataFrame:
     """scores(doc_id, criterion, score) -> means of three, three and six criteria; nulls do not count, no score gives null."""
     of = lambda names: F.avg(F.when(F.col("criterion").isin(*names), F.col("score")))

@@ -470,6 +470,16 @@ def quiz_model_avg(spark, d):
     return scores.model_means(scored(spark, d)).select("doc_id", F.round("overall", 6).alias("overall"), F.round("raw", 6).alias("raw"), "models")
 
 
+@query("WITH " + SCORED.format("") + f""", l AS (SELECT item_id % 5 AS doc_id, sum(len(regexp_extract_all(text, '[\\pL\\pM\\pN_]+'))) AS n FROM benchmark GROUP BY item_id % 5),
+pm AS (SELECT doc_id, model, coalesce(max(CASE WHEN qtype = 'verbatim' THEN correct / greatest(total, 1) END), 0) AS v, coalesce(max(CASE WHEN qtype = 'interpretive' THEN correct / greatest(total, 1) END), 0) AS i, sum(correct) AS score, sum(total) AS total FROM sc GROUP BY doc_id, model)
+SELECT doc_id, round(avg(v), 6) AS verbatim_raw, round(avg(i), 6) AS interpretive_raw, round(avg(score), 6) AS overall_score, round(avg(score / greatest(1, total)), 6) AS overall_accuracy, round(avg(score * (1 + 1 / greatest(1.0, n / 774.0))), 6) AS overall_aug
+FROM pm JOIN l USING (doc_id) GROUP BY doc_id""")
+def quiz_reader_means(spark, d):
+    length = fx.table(spark, d, "benchmark").groupBy((F.col("item_id") % 5).alias("doc_id")).agg(F.sum(T.regex_word_count(F.col("text"))).alias("words"))
+    m = scores.reader_means(scored(spark, d), length)
+    return m.select("doc_id", *[F.round(c, 6).alias(c) for c in ("verbatim_raw", "interpretive_raw", "overall_score", "overall_accuracy", "overall_aug")])
+
+
 @query("""WITH j AS (SELECT doc_id, n.k, CASE WHEN (doc_id + n.k) % 6 = 0 THEN NULL ELSE least(1 + quality * 3 + toxic + (doc_id + n.k) % 3, 5) END AS s FROM labels, (SELECT unnest(range(0, 6)) AS k) n)
 SELECT doc_id, round(avg(s) FILTER (k < 3), 6) AS aesthetic, round(avg(s) FILTER (k >= 3), 6) AS information, round(avg(s), 6) AS overall FROM j GROUP BY doc_id""")
 def judge_means(spark, d):

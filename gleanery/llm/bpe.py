@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, read_table
 
-LEAF = 4096  # characters of a leaf
+LEAF = 3072  # characters of a leaf
 # Fixed values of the file's scheme, for which the agreement above is proved, and its split pattern with the Latin blocks' letters and digits written out.
 NORMAL = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

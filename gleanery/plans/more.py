@@ -66,14 +66,14 @@ def visual_target(spark, d):
 a AS (SELECT *, max(CASE WHEN category <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS have FROM s),
 r AS (SELECT *, CASE WHEN have = 0 THEN 1 ELSE list_position(['methodology', 'architecture', 'results', 'analysis', 'motivation', 'dataset'], category) END AS rk FROM a),
 x AS (SELECT doc_id, section_id, row_number() OVER (PARTITION BY doc_id ORDER BY rk, ord) AS i FROM r WHERE rk > 0),
-v AS (SELECT c_nationkey AS doc_id, c_custkey AS visual_no, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer WHERE c_custkey % 20 = 0)
+v AS (SELECT c_nationkey AS doc_id, c_custkey AS visual_no, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)
 SELECT doc_id, section_id, visual_no FROM x JOIN v USING (doc_id, i)""")
 def visuals_to_sections(spark, d):
     s = fx.table(spark, d, "supplier")
     names = F.array(*map(F.lit, ["dataset", "results", "conclusion", "methodology", ""]))
     category = F.when(F.col("s_nationkey") == 3, "").otherwise(F.element_at(names, (F.col("s_suppkey") % 5 + 1).cast("int")))
     s = s.select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("section_id"), category.alias("category"))
-    v = fx.table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("visual_no"))
+    v = fx.table(spark, d, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("visual_no"))
     return analysis.visuals_to_sections(s, v)
 
 
@@ -114,14 +114,14 @@ def atomic_paragraphs(spark, d):
     return docs.select("doc_id", F.posexplode(chunks.paragraphs(F.col("text"))).alias("n", "paragraph"))
 
 
-SHAPES = """shapes AS (SELECT l_orderkey // 32 AS deck, CAST(l_orderkey % 8 AS INTEGER) AS slide, l_linenumber AS shape_no, 'text ' || l_partkey AS text, CAST(l_suppkey AS INTEGER) AS left_, CAST(l_partkey AS INTEGER) AS top,
-  CAST(l_quantity AS INTEGER) AS font, l_returnflag = 'A' AS is_title, l_linestatus = 'F' AS bullets FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 32 < 8)"""
+SHAPES = """shapes AS (SELECT l_orderkey // 8 AS deck, CAST(l_orderkey % 8 AS INTEGER) AS slide, l_linenumber AS shape_no, 'text ' || l_partkey AS text, CAST(l_suppkey AS INTEGER) AS left_, CAST(l_partkey AS INTEGER) AS top,
+  CAST(l_quantity AS INTEGER) AS font, l_returnflag = 'A' AS is_title, l_linestatus = 'F' AS bullets FROM lineitem)"""
 
 
 def deck(spark, d):
-    """Order lines as shapes: 32 orders a deck, of which the first eight are its slides, their first two lines the shapes."""
-    return fx.table(spark, d, "lineitem").where("l_linenumber <= 2 and l_orderkey % 32 < 8").select(
-        F.expr("l_orderkey div 32").alias("deck"), (F.col("l_orderkey") % 8).cast("int").alias("slide"), F.col("l_linenumber").alias("shape_no"), F.concat(F.lit("text "), F.col("l_partkey").cast("string")).alias("text"),
+    """Order lines as shapes: eight orders a deck, its slides."""
+    return fx.table(spark, d, "lineitem").select(
+        F.expr("l_orderkey div 8").alias("deck"), (F.col("l_orderkey") % 8).cast("int").alias("slide"), F.col("l_linenumber").alias("shape_no"), F.concat(F.lit("text "), F.col("l_partkey").cast("string")).alias("text"),
         F.col("l_suppkey").cast("int").alias("left"), F.col("l_partkey").cast("int").alias("top"), F.lit(200_000).alias("width"), F.lit(200_000).alias("height"), F.col("l_quantity").cast("int").alias("font"),
         (F.col("l_returnflag") == "A").alias("is_title"), (F.col("l_linestatus") == "F").alias("bullets"))
 

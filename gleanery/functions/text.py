@@ -218,9 +218,14 @@ def clean_latex(text: Column) -> Column:
     return strip(text)
 
 
+# The address forms of video platforms, with the id of a video behind each.
+YOUTUBE = [r"youtube\.com/watch\?.*?v=", r"youtu\.be/", r"youtube\.com/embed/", r"youtube\.com/v/"]
+YOUTUBE_ID = r"[A-Za-z0-9_\-]{11}"
+VIMEO = r"(?:https?://)?(?:www\.)?(?:vimeo\.com|player\.vimeo\.com/video)/(\d+)"
+
+
 def video_platform(url: Column) -> Column:
-    return (F.when(F.rlike(url, F.lit(r"(?i)(?:youtube\.com/(?:watch\?.*v=|embed/|v/)|youtu\.be/)[A-Za-z0-9_\-]{11}")), "youtube")
-            .when(F.rlike(url, F.lit(r"(?i)(?:player\.)?vimeo\.com/(?:video/)?[0-9]+")), "vimeo").otherwise("other"))
+    return F.when(F.rlike(url, F.lit(f"(?i)(?:{'|'.join(YOUTUBE)}){YOUTUBE_ID}")), "youtube").when(F.rlike(url, F.lit(f"(?i){VIMEO}")), "vimeo").otherwise("other")
 
 
 def source_format(path: Column) -> Column:

@@ -246,10 +246,14 @@ def plain_title(text: Column, named: Column) -> Column:
     return F.coalesce(F.nullif(named, F.lit("")), F.when(F.length(line) < 200, line), F.lit("Untitled Document"))
 
 
+# Fixed value: a line that begins a list of names.
+NAMES = r"[A-Z][a-z]+\s+[A-Z][a-z]+.*,"
+
+
 def plain_authors(text: Column, most: int = 10) -> Column:
     """The names in the first of the 20 leading lines that holds two capitalised words and then a comma; marks and digits go, names of three characters or fewer too."""
     lines = F.slice(F.split(T.strip(F.coalesce(text, F.lit(""))), "\n"), 1, 20)
-    named = F.filter(lines, lambda x: F.rlike(x, F.lit(r"[A-Z][a-z]+\s+[A-Z][a-z]+.*,")))
+    named = F.filter(lines, lambda x: F.rlike(x, F.lit(NAMES)))
     names = lambda x: F.filter(F.transform(F.split(F.regexp_replace(x, r"\*+|\d+", ""), r",|\s+and\s+"), lambda a: T.strip(a)), lambda a: F.length(a) > 3)
     found = F.filter(F.transform(named, names), lambda a: F.size(a) > 0)
     return F.slice(F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>")), 1, most)

@@ -34,6 +34,62 @@ def keep_titles(titles: Column) -> Column:
         F.exists(kept, lambda k: F.contains(normal_title(t), normal_title(k)) | F.contains(normal_title(k), normal_title(t))), kept).otherwise(F.concat(kept, F.array(t))))
 
 
+# Code points of the pieces by which contained titles are sought; starts of pieces cut from a title at once.
+PIECE, STARTS = 8, 64
+
+
+def pieces(group: Column, text: Column, n: int) -> Column:
+    """Hashes of a group and each run of n code points of a text, distinct. A place in a string is found by a walk from its start, so a long text is cut into blocks first."""
+    block = lambda b: F.substring(text, b * STARTS + 1, F.lit(STARTS + n - 1))
+    of = lambda part: F.transform(F.sequence(F.lit(1), F.length(part) - n + 1), lambda i: F.xxhash64(group, F.substring(part, i, F.lit(n))))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - n) / STARTS).cast("int")), lambda b: A.let(block(b), of)))
+    return F.when(F.length(text) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+
+def containing(rows: DataFrame) -> DataFrame:
+    """(early, late) ids of rows(id, g, place, n), distinct texts n in groups g, one of which holds the other, by place. A text of PIECE code points or more is sought by that of its
+    pieces which the fewest texts of its group hold (one that no other holds is in no other), a shorter one as a whole; the texts decide."""
+    long_ = rows.where(F.length("n") >= PIECE).select("id", F.explode(pieces(F.col("g"), F.col("n"), PIECE)).alias("k"))
+    many = long_.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    rarest = long_.join(many, "k").groupBy("id").agg(F.min(F.struct("c", "k")).alias("m")).where("m.c > 1").select(F.col("id").alias("short"), "m.k")
+    brief = rows.where(F.length("n").between(1, PIECE - 1))
+    sizes = sorted(r[0] for r in brief.select(F.length("n")).distinct().collect())  # seven numbers at most
+    sought = rarest.unionByName(brief.select(F.col("id").alias("short"), F.xxhash64("g", "n").alias("k")))
+    held = long_
+    if sizes:
+        held = held.unionByName(rows.select("id", F.explode(F.concat(*[pieces(F.col("g"), F.col("n"), n) for n in sizes])).alias("k")))
+    met = sought.join(held, "k").where("short <> id").select("short", F.col("id").alias("long"))
+    named = lambda x: rows.select(F.col("id").alias(x), F.struct("g", "place", "n").alias(f"{x}_"))
+    pairs = met.join(named("short"), "short").join(named("long"), "long").where(F.col("short_.g").eqNullSafe(F.col("long_.g")) & F.contains("long_.n", "short_.n"))
+    first = F.col("short_.place") < F.col("long_.place")
+    return pairs.select(F.when(first, F.col("short")).otherwise(F.col("long")).alias("early"), F.when(first, F.col("long")).otherwise(F.col("short")).alias("late"))
+
+
+def first_kept(pairs: DataFrame) -> DataFrame | None:
+    """Ids that go when of pairs(early, late) each late one goes whose early one stays: in rounds, those that no open pair has as late stay, and what they meet goes. None if no
+    pairs. Rounds are as many as the longest run of pairs that hang on each other."""
+    gone, left = None, stored(pairs.distinct())
+    while not left.isEmpty():
+        stays = left.select("early").join(left.select(F.col("late").alias("early")), "early", "left_anti").distinct()
+        goes = stored(left.join(stays, "early", "left_semi").select(F.col("late").alias("id")).distinct())
+        gone = goes if gone is None else gone.unionByName(goes)
+        left = stored(left.join(goes.withColumnRenamed("id", "early"), "early", "left_anti").join(goes.withColumnRenamed("id", "late"), "late", "left_anti"))
+    return gone
+
+
+def kept_titles(df: DataFrame, group: str, order: str, title: str) -> DataFrame:
+    """keep_titles over tables: (group, order, title) of each group's titles in order that neither contain nor are contained in one kept before. No group meets in one task:
+    only titles that hold each other meet. A blank title is in every other, so it stays alone where it is first and goes elsewhere."""
+    place = F.struct(F.col(order).alias("o"), F.col(title).alias("t"))
+    first = df.groupBy(F.col(group).alias("g"), normal_title(F.col(title)).alias("n")).agg(F.min(place).alias("place"))  # a title met before is never kept
+    lead = first.groupBy("g").agg(F.min_by(F.struct("n"), "place").alias("lead")).withColumnRenamed("g", "lead_g")
+    open_ = first.join(lead, F.col("g").eqNullSafe(F.col("lead_g"))).where((F.col("n") == "") == (F.col("lead.n") == ""))
+    rows = stored(open_.select(F.monotonically_increasing_id().alias("id"), "g", "place", "n"))
+    gone = first_kept(containing(rows))
+    kept = rows if gone is None else rows.join(gone, "id", "left_anti")
+    return kept.select(F.col("g").alias(group), F.col("place.o").alias(order), F.col("place.t").alias(title))
+
+
 def zip_join(a: DataFrame, b: DataFrame, by: list[str], order_a: list, order_b: list) -> DataFrame:
     """The i-th row of a group with the i-th of the other's; the shorter wins."""
     number = lambda df, order: df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -317,9 +317,8 @@ SELECT grp, kept FROM f WHERE i = len(ts)""")
 def title_dedup_containment(spark, d):
     title = F.array_join(T.words(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), " ")
     p = fx.table(spark, d, "pages").select((F.col("page_id") % 25).alias("grp"), "page_id", title.alias("t"))
-    first = p.groupBy("grp", selection.normal_title(F.col("t"))).agg(F.min(F.struct("page_id", "t")).alias("s"))  # a title met before is never kept
-    g = first.groupBy("grp").agg(F.array_sort(F.collect_list("s")).alias("a"))
-    return g.select("grp", selection.keep_titles(F.transform("a", lambda s: s["t"])).alias("kept"))
+    kept = selection.kept_titles(p, "grp", "page_id", "t").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("page_id", "t"))).alias("a"))
+    return kept.select("grp", F.transform("a", lambda s: s["t"]).alias("kept"))
 
 
 @query("""SELECT doc_id, i, line FROM (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, i) = 1""")

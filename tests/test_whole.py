@@ -40,3 +40,32 @@ def test_whole_titles(spark, tmp_path):
     titles = ["One two three four", "One two three five", "one two THREE four!", "three five", "Six  seven eight nine"]
     spark.createDataFrame([(25 * i, f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r["kept"] for r in plans.QUERIES["title_dedup_containment"](spark, str(tmp_path)).collect()] == [["One two three four", "One two three five", "Six seven eight nine"]]
+
+
+def first_titles(rows):
+    """rows: [(group, order, title)] -> the same, kept by a fold over each group."""
+    kept = {}
+    for g, o, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        n, have = "".join(c if c.isalnum() else " " for c in t.lower()).strip(), kept.setdefault(g, [])
+        n = " ".join(n.split())
+        if not any(n in k or k in n for _, _, k in have):
+            have.append((o, t, n))
+    return {(g, o, t) for g, have in kept.items() for o, t, _ in have}
+
+
+def test_kept_titles_of_large_groups(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abé"), rng.integers(1, 5)))
+    rows = [(int(rng.integers(0, 3)), i, " ".join(word() for _ in range(rng.integers(1, 7)))) for i in range(600)]
+    common = "the official site of a shop: product "
+    rows += [(7, i, common + str(i)) for i in (12, 120, 3, 31, 1, 205)] + [(8, 1, "..."), (8, 2, "Any title"), (9, 1, "Any title"), (9, 2, "!"), (9, 3, "many titles")]
+    rows += [(10, 1, "x" * 300 + " needle in long " + "y" * 300), (10, 2, "needle in long"), (10, 3, "le in lo"), (10, 4, "needles"), (None, 1, "some words here"), (None, 2, "Words here"), (None, 2, "no others")]
+    rows += [(11, i, t) for i, t in enumerate(["long title one two", "title one", "title one four", "le one four five", "one four fiv", "zzz"])]
+    df = spark.createDataFrame(rows, "g long, o long, t string")
+    got = [tuple(r) for r in selection.kept_titles(df, "g", "o", "t").select("g", "o", "t").collect()]
+    assert len(got) == len(set(got)) and set(got) == first_titles(rows)
+
+
+def test_titles_are_not_folded_in_one_row(spark, sf_dir):
+    plan = plans.QUERIES["title_dedup_containment"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(CASE WHEN exists(" not in plan and "aggregate(transform(" not in plan

@@ -44,12 +44,18 @@ ATOMIC = [r"(\$\$[\s\S]*?\$\$|\\begin\{(?:equation|align|gather|multline)\}[\s\S
 BLANK = r"\n\s*\n"
 
 
-def inside(starts: Column, blocks: Column) -> Column:
-    """For each of ascending positions, whether a block (start, stop) covers it, ends included: one sweep over blocks and positions in order, which keeps the furthest stop."""
-    event = lambda at, last, stop: F.struct(at.alias("at"), last.alias("position"), stop.alias("stop"))
-    events = F.sort_array(F.concat(F.transform(blocks, lambda b: event(b["start"], F.lit(False), b["stop"])), F.transform(starts, lambda p: event(p, F.lit(True), F.lit(-1)))))
-    reached = lambda es: F.zip_with(es, A.maxima(F.transform(es, lambda e: e["stop"])), lambda e, far: F.when(e["position"], far >= e["at"]))
-    return F.filter(A.let(events, reached), lambda c: c.isNotNull())
+# A character that a text holds only with ITSELF behind it while its paragraphs are sought, and its other uses: both ends of a block, a start inside one, the end
+# of a paragraph.
+MARK = "\x01"
+ITSELF, EDGE, HELD, END = (MARK + c for c in "iehp")
+
+
+def marked(text: Column, pattern: str) -> Column:
+    """A text (its own marks written as ITSELF) with HELD at the start of each block and behind each blank line within one. A block neither begins nor ends with white space,
+    so a blank line is within it or outside, and marks fall neither into blank lines nor into the openings of other blocks."""
+    pieces = F.split(F.regexp_replace(text, pattern, f"{EDGE}$0{EDGE}"), EDGE, -1)  # every second one is a block
+    held = lambda x: F.concat(F.lit(HELD), F.regexp_replace(x, BLANK, "\n\n" + HELD))
+    return F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, held(x)).otherwise(x)), "")
 
 
 def grouped(parts: Column, lasts: Column) -> Column:
@@ -60,15 +66,14 @@ def grouped(parts: Column, lasts: Column) -> Column:
 
 def paragraphs(content: Column) -> Column:
     """A text's paragraphs, between blank lines. One that begins inside an atomic block is held back and goes out with those that follow, up to and with the first that begins
-    outside. Linear in the text: positions and blocks are computed once and swept."""
-    parts = F.split(content, BLANK, -1)
-    lengths = F.zip_with(F.transform(parts, lambda p: F.length(p)), F.transform(F.regexp_extract_all(content, F.lit(BLANK), F.lit(0)), lambda m: F.length(m)), lambda p, m: p + F.coalesce(m, F.lit(0)))
-    starts = A.let(A.sums(lengths), lambda e: F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)))
-    covered = inside(starts, F.concat(*[spans(content, p) for p in ATOMIC]))
-    lasts = F.filter(F.transform(covered, lambda c, i: F.when(~c, i)), lambda i: i.isNotNull())
-    whole = A.let(parts, lambda ps: A.let(F.array_distinct(F.concat(lasts, F.array(F.size(ps) - 1))), lambda ls: grouped(ps, ls)))
-    marked = F.contains(content, F.lit("$$")) | F.contains(content, F.lit("```")) | F.contains(content, F.lit("\\begin{"))
-    return F.filter(F.transform(F.when(marked, whole).otherwise(parts), lambda p: T.strip(p)), lambda p: p != "")
+    outside. A few passes over the text, without positions: blocks are marked in the text itself."""
+    text = F.replace(content, F.lit(MARK), F.lit(ITSELF))
+    for pattern in ATOMIC:
+        text = marked(text, pattern)
+    ended = F.transform(F.split(text, BLANK, -1), lambda p: F.concat(p, F.when(F.startswith(p, F.lit(HELD)), "\n\n").otherwise(END)))
+    whole = F.transform(F.split(F.replace(F.array_join(ended, ""), F.lit(HELD), F.lit("")), END, -1), lambda p: F.replace(p, F.lit(ITSELF), F.lit(MARK)))
+    has_blocks = F.contains(content, F.lit("$$")) | F.contains(content, F.lit("```")) | F.contains(content, F.lit("\\begin{"))
+    return F.filter(F.transform(F.when(has_blocks, whole).otherwise(F.split(content, BLANK, -1)), lambda p: T.strip(p)), lambda p: p != "")
 
 
 def pack(content: Column, most: int = 800) -> Column:

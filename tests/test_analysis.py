@@ -32,6 +32,22 @@ def test_paragraphs(spark):
     assert got == [brute_paragraphs(t) for t in [*texts, "", "one"]]
 
 
+def test_paragraphs_with_marks_and_overlapping_blocks(spark):
+    r = random.Random(5)
+    bits = ["words", "$$", "$", "```", "`", "\\begin{equation}", "\\end{equation}", "\\begin{algorithm}", "\\end{algorithm}", "\n\n", "\n \n", "\n", " ", "\x01", "\x01h", "\x01e", "p", "i", "ä"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [x["p"] for x in df.select("id", chunks.paragraphs(F.col("text")).alias("p")).orderBy("id").collect()]
+    assert got == [brute_paragraphs(t) for t in texts]
+
+
+def test_paragraphs_sweep_no_positions(spark):
+    """Regular expressions and folds over positions of one expression; each costs a pass over the text, or more than one."""
+    text = spark.createDataFrame([("x",)], "t string").select(chunks.paragraphs(F.col("t")).alias("p"))
+    plan = text._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "regexp_extract_all(" not in plan
+
+
 def test_headers_keep_every_character(spark):
     text = "before\n# A\none \x01 two\n# B\nthree"
     got = sections.split_headers(spark.createDataFrame([(1, text), (2, "# Only\nx"), (3, "no header")], "doc_id int, text string")).orderBy("doc_id", "ord").collect()

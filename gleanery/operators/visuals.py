@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import vectors
 from .analysis import DATA_VISUALS
@@ -88,12 +89,12 @@ def fill_to_target(sections: DataFrame, by: str, target: int, order: str = "ord"
 def captioned(text: Column, figure_ids: Column) -> Column:
     """Captions of figures (array of ids) out of lines "Figure N: ..." of the text: each goes to the first figure whose id holds its number, a later one replaces an earlier.
     Array of (figure_id, caption), caption null where none."""
-    text = F.coalesce(text, F.lit(""))
-    lines = F.arrays_zip(F.regexp_extract_all(text, F.lit(FIGURE_LINE), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(FIGURE_LINE), F.lit(2)).alias("caption"))
+    found = lambda t, k: F.regexp_extract_all(t, F.lit(FIGURE_LINE), F.lit(k))
     aim = lambda n: F.get(F.filter(figure_ids, lambda f: F.contains(f, n)), F.lit(0))
-    aimed = F.transform(lines, lambda x: F.struct(aim(x["n"]).alias("id"), x["caption"].alias("caption")))
-    last = F.map_from_entries(F.transform(F.array_distinct(figure_ids), lambda f: F.struct(f, F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(aimed, lambda a: a["id"] == f), lambda a: T.strip(a["caption"]))), -1))))
-    return F.transform(figure_ids, lambda f, i: F.struct(f.alias("figure_id"), F.when(F.array_position(figure_ids, f) == i + 1, F.element_at(last, f)).alias("caption")))
+    aimed = lambda t: F.zip_with(found(t, 1), found(t, 2), lambda n, c: F.struct(aim(n).alias("id"), c.alias("caption")))
+    last = lambda lines, f: T.strip(F.try_element_at(F.filter(lines, lambda x: x["id"] == f), F.lit(-1))["caption"])
+    out = lambda lines: F.transform(figure_ids, lambda f, i: F.struct(f.alias("figure_id"), F.when(F.array_position(figure_ids, f) == i + 1, last(lines, f)).alias("caption")))
+    return A.let(A.let(F.coalesce(text, F.lit("")), aimed), out)  # the text is read once for all figures
 
 
 def captions_in(blocks: DataFrame, w) -> DataFrame:

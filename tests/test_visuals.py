@@ -1,6 +1,7 @@
 """Operators on visuals against small cases worked by hand and plain Python."""
 
 import random
+import time
 
 from gleanery.operators import visuals
 from pyspark.sql import functions as F
@@ -22,6 +23,26 @@ def test_captions_last_one_wins_and_first_figure_takes(spark):
     assert got == [[("f10", "later"), ("f1", None), ("f2", "second")], [("f1", None)], []]
 
 
+def test_captions_of_equal_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "Figure 1: a\n" * 3 + "fig 2.  b\nFigure 2 : c \nFigure\n3\nd", ["f1", "f2", "f3", "f1", None, "x"])], "id int, t string, ids array<string>")
+    out = df.select(visuals.captioned(F.concat("t", F.lit("\n")), F.col("ids")).alias("c"))
+    assert [tuple(x) for x in out.first()["c"]] == [("f1", "a"), ("f2", "c"), ("f3", "d"), ("f1", None), (None, None), ("x", None)]
+
+
+def test_captions_read_a_text_once(spark):
+    """Not once for each pair of figures: twenty figures take no 10 times as long as one."""
+    text = "\n".join(f"Figure {i % 20}: some words of a caption" for i in range(8000))
+
+    def seconds(n):
+        df = spark.createDataFrame([(text, [f"figure_{i}_" for i in range(n)])], "t string, ids array<string>").select(visuals.captioned(F.col("t"), F.col("ids")).alias("c"))
+        df.collect()
+        start = time.monotonic()
+        assert len(df.collect()[0]["c"]) == n
+        return time.monotonic() - start
+
+    assert seconds(20) < 10 * seconds(1)
+
+
 def test_keyframes(spark):
     def brute(frames, distance, most):
         kept = []

@@ -65,7 +65,7 @@ def containing(rows: DataFrame) -> DataFrame:
     return pairs.select(F.when(first, F.col("short")).otherwise(F.col("long")).alias("early"), F.when(first, F.col("long")).otherwise(F.col("short")).alias("late"))
 
 
-def first_kept(pairs: DataFrame) -> DataFrame | None:
+def gone_by_order(pairs: DataFrame) -> DataFrame | None:
     """Ids that go when of pairs(early, late) each late one goes whose early one stays: in rounds, those that no open pair has as late stay, and what they meet goes. None if no
     pairs. Rounds are as many as the longest run of pairs that hang on each other."""
     gone, left = None, stored(pairs.distinct())
@@ -85,7 +85,7 @@ def kept_titles(df: DataFrame, group: str, order: str, title: str) -> DataFrame:
     lead = first.groupBy("g").agg(F.min_by(F.struct("n"), "place").alias("lead")).withColumnRenamed("g", "lead_g")
     open_ = first.join(lead, F.col("g").eqNullSafe(F.col("lead_g"))).where((F.col("n") == "") == (F.col("lead.n") == ""))
     rows = stored(open_.select(F.monotonically_increasing_id().alias("id"), "g", "place", "n"))
-    gone = first_kept(containing(rows))
+    gone = gone_by_order(containing(rows))
     kept = rows if gone is None else rows.join(gone, "id", "left_anti")
     return kept.select(F.col("g").alias(group), F.col("place.o").alias(order), F.col("place.t").alias(title))
 
